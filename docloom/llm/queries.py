@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, mixing, packing, splitting, vectors
+from docloom.llm import bpe, mixing, packing, spam, splitting, vectors
 from docloom.llm.nodes import first_delivery, node_column
 from docloom.session import stash, table
 
@@ -64,6 +64,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_batches, p1_report, p4_found, p4_neighbours, p5_found, p5_pieces, p7_ids, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.find_spam(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_batches, p1_report, p4_found, p4_neighbours, p5_found, p5_pieces, p7_ids, p8_mixture, p8_shares, p9_found)}
 
 SQL: dict[str, str] = {}
