@@ -3,7 +3,7 @@
 Every page becomes a sequence of word classes: function words by language, kinds of content words, numbers, links, marks.
 Content words that belong to a pair repeated densely on the page have classes of their own. A trigram model of classes is
 trained on all prose units (sentences with function words and an end) of the whole corpus; its counts fit into a table of
-fixed size. The surprisal of prose units gives the normal range, and a page with a noticeable share of characters in units
+fixed size. The surprisal of prose units gives the normal range, and a page with half of its characters in units
 whose perplexity is abnormally high or low is suspect. An exact check of the suspects' texts then decides: a page is spam
 if more than half of its characters are dense keywords, links without explaining sentences or lists of tags or goods.
 
@@ -260,6 +260,22 @@ def is_sentence(text: str) -> bool:
     return (han >= 10 and chinese >= max(1, 0.03 * han)) or (other >= 6 and european >= max(2, 0.1 * other)) or (han + other >= 8 and other >= 3 and han >= 4 and chinese + european >= 1)
 
 
+_marks: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Whether a code point is a letter or digit, whether it is blank, and its folded form; made once in each worker."""
+    if not _marks:
+        every = [chr(i) for i in range(0x110000)]
+        fold = np.arange(0x110000)
+        low = [c.lower() for c in every]
+        fold[:] = [ord(c) if len(c) == 1 else i for i, c in enumerate(low)]
+        for a, b in _LEET.items():
+            fold[a] = ord(b) if isinstance(b, str) else b
+        _marks.extend([np.array([c.isalnum() for c in every]), np.array([c.isspace() for c in every]), fold])
+    return _marks
+
+
 def _covered(code: np.ndarray, usable: np.ndarray, unit: np.ndarray, plain: np.ndarray, han: np.ndarray, once_in: int) -> np.ndarray:
     """Characters inside dense keywords: runs of 4 Han or 9 other characters that come again and again.
 
@@ -287,8 +303,10 @@ def _covered(code: np.ndarray, usable: np.ndarray, unit: np.ndarray, plain: np.n
 
 def spam_share(text: str) -> float:
     """Share of a page's visible characters that are dense keywords, bare links or lists of tags or goods."""
+    alnum, blank, fold = _tables()
     text = _INVISIBLE.sub("", text)
-    visible = np.fromiter((not c.isspace() for c in text), bool, len(text))
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    visible = ~blank[raw]
     if not visible.any():
         return 0.0
     n = len(text)
@@ -312,11 +330,9 @@ def spam_share(text: str) -> float:
     unit, plain = np.zeros(n, np.int64), np.zeros(len(bounds), bool)
     for i, (a, b) in enumerate(bounds):
         unit[a:b], plain[i] = i, not is_sentence(text[a:b])
-    folded = text.lower().translate(_LEET)
-    folded = folded if len(folded) == n else text
-    code = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = fold[raw]
     han = (code >= 0x4E00) & (code <= 0x9FFF)
-    letters = han | np.fromiter((c.isalnum() for c in folded), bool, n)
+    letters = han | alnum[code]
     fence = np.zeros(n, bool)
     for m in _FENCE.finditer(text):
         fence[m.start() : m.end()] = True
@@ -338,12 +354,13 @@ def spam_share(text: str) -> float:
     return float((spam & visible).sum() / visible.sum())
 
 
-def suspects(documents: DataFrame, key: str = "doc_id", least: float = 0.35) -> DataFrame:
-    """(key, perplexity, abnormal) of the pages that the model finds abnormal enough to be looked at, or densely repetitive."""
+def suspects(documents: DataFrame, key: str = "doc_id", least: float = 0.5, repeated: float = 0.35) -> DataFrame:
+    """(key, perplexity, abnormal) of the pages that the model finds abnormal: at least half of the characters, as the
+    problem counts them, lie in abnormal units; or a third of them in densely repeated words."""
     seqs = sequences(documents, key)
     costs = train(seqs)
     mean, sd = normal_range(seqs, costs)
-    return page_scores(seqs, costs, mean, sd).filter((F.col("abnormal") >= least) | (F.col("dense") >= least)).select(F.col("key").alias(key), "perplexity", "abnormal")
+    return page_scores(seqs, costs, mean, sd).filter((F.col("abnormal") >= least) | (F.col("dense") >= repeated)).select(F.col("key").alias(key), "perplexity", "abnormal")
 
 
 #: Measured shares of honest pages end just below one half and those of spam begin at two thirds.
