@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 BLANK = r"(?U)[\s\x1c-\x1f]"
 #: The markers of the annotated Markdown.
@@ -86,7 +87,7 @@ def token_count(c: Column | str) -> Column:
     return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(TOKEN))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _length_text(n: pd.Series) -> pd.Series:
     def one(x):
         return None if x != x else f"{int(x)} 字符" if x < 1_000 else f"{x / 1_000:.1f}千字符" if x < 1_000_000 else f"{x / 1_000_000:.2f}兆字符"
