@@ -16,7 +16,8 @@ _PLAIN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z"
 
 
 def _dashed(h: Column) -> Column:
-    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    first, *rest = (F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return F.concat(first, *(x for part in rest for x in (F.lit("-"), part)))
 
 
 def uuid5(title: Column, namespace: str | Column) -> Column:

@@ -11,7 +11,7 @@ from docloom.functions.ids import canonical_id
 
 def markdown_directory(spark: SparkSession, path: str) -> DataFrame:
     """(source, name, text) of every ``*.md`` file of a folder; the name is the file's without its ending."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     file = F.element_at(F.split("_metadata.file_path", "/"), -1)
     return files.select(F.col("_metadata.file_path").alias("source"), F.regexp_replace(F.url_decode(file), r"\.md$", "").alias("name"), F.col("value").alias("text"))
 
@@ -24,7 +24,7 @@ def header_and_body(docs: DataFrame, text: str = "text", lines: int = 4) -> Data
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of log files, lines numbered from 0 within each file. One file is read by one task."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n", -1)).alias("line_no", "value"))
 
 

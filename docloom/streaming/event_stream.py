@@ -20,32 +20,37 @@ def watch(spark: SparkSession, path: str, schema: str, files_per_batch: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def suppress_repeats(events: DataFrame, ttl: int = E.TTL) -> DataFrame:
+def suppress_repeats(events: DataFrame, ttl: int = E.TTL, lateness: str | None = None) -> DataFrame:
     """Stream version of the time-to-live filter, on the events' own clock ``at`` (seconds), so that it can be replayed.
 
-    State is one number for each key, dropped by processing time an hour after its last event. Within a batch a key's events
-    are taken in order of (at, event_no); a late one, older than the last let through, is let through only if it is
-    ``ttl`` seconds apart.
+    State is one number for each key. With ``lateness`` (an interval) a watermark on ``at`` drops events that come later
+    than that and removes the state of silent keys; without, all events are heard and the state stays. Within a batch a
+    key's events are taken in order of (at, event_no); one older than the last let through passes if it is ``ttl``
+    seconds apart.
     """
-    out = "event_no long, at long"
-    keyed = events.select("event_no", F.col("at").cast("long").alias("at"), *(F.coalesce(F.col(c), F.lit("\x00")).alias(c) for c in KEYS[:-1]), F.coalesce(F.substring("message", 1, E.KEY_CHARS), F.lit("\x00")).alias("head"))
+    rows = events.withColumn("ts", F.timestamp_seconds("at"))
+    timeout = GroupStateTimeout.NoTimeout
+    if lateness:
+        rows, timeout = rows.withWatermark("ts", lateness), GroupStateTimeout.EventTimeTimeout
+    keyed = rows.select("event_no", "ts", F.col("at").cast("long").alias("at"), *(F.coalesce(F.col(c), F.lit("\x00")).alias(c) for c in KEYS[:-1]), F.coalesce(F.substring("message", 1, E.KEY_CHARS), F.lit("\x00")).alias("head"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows, kept = pd.concat(frames).sort_values(["at", "event_no"]), []
-        for number, at in zip(rows["event_no"], rows["at"]):
+        got, kept = pd.concat(frames).sort_values(["at", "event_no"]), []
+        for number, at in zip(got["event_no"], got["at"]):
             if last is None or abs(at - last) >= ttl:
                 kept.append((number, at))
                 last = at if last is None else max(last, at)
         if last is not None:
             state.update((int(last),))
-        state.setTimeoutDuration(3_600_000)
+            if lateness:
+                state.setTimeoutTimestamp(max(int(last) + ttl, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
         yield pd.DataFrame(kept, columns=["event_no", "at"])
 
-    return keyed.groupBy(*KEYS).applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy(*KEYS).applyInPandasWithState(step, "event_no long, at long", "last long", "append", timeout)
 
 
 def textify_and_store(events: DataFrame, store: NodeStore, static: DataFrame, checkpoint: str, dead: str | None = None, available_now: bool = True) -> StreamingQuery:
