@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.llm import bpe, mixing, packing, spam, splitting, vectors
 from docloom.llm.nodes import first_delivery, node_column
-from docloom.session import stash, table
+from docloom.plans.core_problems import _BASE
+from docloom.session import table
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +27,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.nearest(_nodes(spark, d), 10, 20)
+    return vectors.nearest(_nodes(spark, d), 10, 20).withColumn("cosine", F.round("cosine", 8))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -70,4 +71,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_batches, p1_report, p4_found, p4_neighbours, p5_found, p5_pieces, p7_ids, p8_mixture, p8_shares, p9_found)}
 
-SQL: dict[str, str] = {}
+_TOKEN = r"[一-鿿]|[A-Za-z0-9_]+|[^ \t\r\nA-Za-z0-9_一-鿿]"
+_GOOD = "len({0}) = 64 AND len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+_VEC = f"""WITH {_BASE}, one AS (SELECT * FROM ided WHERE node IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY delivery_no) = 1),
+v AS (SELECT 'vector' AS field, node, vector::DOUBLE[] AS x FROM one WHERE {_GOOD.format('vector')} UNION ALL SELECT 'summary_vector', node, summary_vector::DOUBLE[] FROM one WHERE {_GOOD.format('summary_vector')})"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"{_VEC} SELECT a.field, a.node AS pk_a, b.node AS pk_b FROM v a JOIN v b ON a.field = b.field AND a.node < b.node WHERE list_cosine_similarity(a.x, b.x) >= 0.9",
+    "p4_neighbours": f"""{_VEC}, q AS (SELECT * FROM v WHERE (('0x' || substr(replace(node, '-', ''), 1, 8))::BIGINT % 20 * 16 + ('0x' || substr(replace(node, '-', ''), 9, 8))::BIGINT % 20 * 16 + ('0x' || substr(replace(node, '-', ''), 17, 8))::BIGINT % 20 * 16 + ('0x' || substr(replace(node, '-', ''), 25, 8))::BIGINT) % 20 = 0)
+SELECT q.field, q.node AS pk, row_number() OVER (PARTITION BY q.field, q.node ORDER BY list_cosine_similarity(q.x, v.x) DESC, v.node) AS rank, v.node AS neighbour, round(list_cosine_similarity(q.x, v.x), 8) AS cosine
+FROM q JOIN v ON q.field = v.field AND q.node <> v.node QUALIFY rank <= 10""",
+    "p5_found": f"WITH {_BASE} SELECT node AS pk FROM (SELECT node, arg_min(text, delivery_no) AS text FROM ided WHERE node IS NOT NULL GROUP BY node) WHERE len(regexp_extract_all(text, '{_TOKEN}')) > 1024",
+}

@@ -28,7 +28,8 @@ _TOKEN = re.compile(_URL + r"|[一-鿿]|[A-Za-zÀ-ɏ_][A-Za-z0-9À-ɏ_'-]*|\d+(?
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _LINK = re.compile(r"\[ANCHOR:[^\]]*\]|\[[^\]\n]{0,200}\]\(\s*" + _URL + r"\s*\)|<a\s[^>]*>[^<]{0,200}</a>|\[HLINK:[^\]]*\]|" + _URL)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_RECORD = re.compile(r"(?m)^.*\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*$|^\s*\|.*\|\s*$|^\s*[A-Za-z][\w.-]*:[ \t]+\S.*$|^\s*#{1,6} .*$|^【.*】\s*$")
+_RECORD = re.compile(r"(?m)^.*\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*$|^\s*\|.*\|\s*$|^\s*#{1,6} .*$|^【.*】\s*$")
+_PAIR = re.compile(r"(?m)^\s*[A-Za-z][\w.-]*:[ \t]+\S.*$")
 _UNIT = re.compile(r"[^\n。！？!?.]+(?:\.(?=\S)[^\n。！？!?.]*)*(?:[。！？!?.]+|\n|\Z)[ \t]*|[\n。！？!?.]+")
 _WORD = re.compile(r"[一-鿿]|[A-Za-zÀ-ɏ_][A-Za-z0-9À-ɏ_'-]*")
 _ITEM = re.compile(r"[\n,，、;；|·•»/\t]+|\s[-–—]\s|\s(?=[@#]|tag:)")
@@ -277,12 +278,12 @@ def _tables() -> list[np.ndarray]:
 
 
 def _covered(code: np.ndarray, usable: np.ndarray, unit: np.ndarray, plain: np.ndarray, han: np.ndarray, once_in: int) -> np.ndarray:
-    """Characters inside dense keywords: runs of 4 Han or 9 other characters that come again and again.
+    """Characters inside dense keywords: runs of 4 Han or 6 other characters that come again and again.
 
     Such a run counts if it is repeated within one unit or stands in a unit that is no sentence (``plain``).
     """
     at, out = np.flatnonzero(usable), np.zeros(len(code), bool)
-    for width, kind in ((4, han), (9, ~han)):
+    for width, kind in ((4, han), (6, ~han)):
         m = len(at) - width + 1
         if m <= 0:
             continue
@@ -311,10 +312,15 @@ def spam_share(text: str) -> float:
         return 0.0
     n = len(text)
     honest, links = np.zeros(n, bool), np.zeros(n, bool)
+    fence = np.zeros(n, bool)  # never spam
     for m in _FENCE.finditer(text):
-        honest[m.start() : m.end()] = True
+        fence[m.start() : m.end()] = True
     for m in _RECORD.finditer(text):
         if m.group().lstrip().startswith("#") or not _LINK.search(m.group()):
+            fence[m.start() : m.end()] = True
+    honest |= fence
+    for m in _PAIR.finditer(text):  # key-value lines: spam only if their values are dense keywords
+        if not _LINK.search(m.group()):
             honest[m.start() : m.end()] = True
     spans = [m.span() for m in _LINK.finditer(text) if not honest[m.start()]]
     for i, (a, b) in enumerate(spans):
@@ -333,9 +339,6 @@ def spam_share(text: str) -> float:
     code = fold[raw]
     han = (code >= 0x4E00) & (code <= 0x9FFF)
     letters = han | alnum[code]
-    fence = np.zeros(n, bool)
-    for m in _FENCE.finditer(text):
-        fence[m.start() : m.end()] = True
     body = letters & ~links & ~fence
     covered = _covered(code, body, unit, plain, han, 220)
     spam, items, listed = links.copy(), 0, np.zeros(n, bool)
@@ -369,7 +372,9 @@ SPAM_SHARE = 0.57
 
 def find_spam(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, perplexity, abnormal, share) of the spam pages; see the module's text. No documents: no rows."""
-    found = stash(suspects(documents, key), "suspects")
+    # a key that came several times is looked at once for each of its rows, not for each pair of them
+    found = suspects(documents, key).groupBy(key).agg(F.max("perplexity").alias("perplexity"), F.max("abnormal").alias("abnormal"))
+    found = stash(found, "suspects")
     bloom = BloomFilter.of(found, key, found.count())
     # the filter keeps the texts of other pages out of the shuffle
     texts = documents.select(key, "text").filter(bloom.maybe(key)).join(found, key)
