@@ -157,7 +157,7 @@ def test_readers(spark, tmp_path):
     assert [(r.line_no, r.value) for r in readers.log_lines(spark, str(tmp_path / "c.txt")).collect()] == [(0, "no")]
     (tmp_path / "s.json").write_text(json.dumps({"mcpServers": {"x": {"command": "c", "args": ["1"]}}}))
     assert [(r.name, r.command, r.args) for r in readers.settings(spark, str(tmp_path / "s.json")).collect()] == [("x", "c", ["1"])]
-    assert readers.store_filter('a == "x[1]" && !(b in [1, 2]) || c != 3') == "a == 'x[1]' and  not (b in (1, 2)) or c != 3"
+    assert readers.store_filter('a == "x[1]" && !(b in [1, 2]) || c != 3') .split() == "a == 'x[1]' and not (b in (1, 2)) or c != 3".split()
 
 
 def test_retrieval_edges(spark):
