@@ -31,12 +31,10 @@ def fill_forward(rows: DataFrame, order: str, column: str, out: str, by: str | N
     ranged = rows.withColumn("__range", F.floor(F.col(order) / RANGE))
     inside = Window.partitionBy("__range", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("__own", F.last(column, ignorenulls=True).over(inside))
-    ends = ranged.filter(F.col(column).isNotNull()).groupBy("__range", *keys).agg(F.max_by(column, order).alias("__end"))
-    # one row a range: the range's end value belongs to all later ranges until the next
-    w = Window.partitionBy(*keys).orderBy("__range") if keys else Window.orderBy("__range")
-    spans = ends.withColumn("__next", F.lead("__range").over(w))
-    on = [F.col("a.__range") > F.col("b.__range"), F.col("b.__next").isNull() | (F.col("a.__range") <= F.col("b.__next"))] + [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    starts = ranged.select("__range", *keys).distinct().alias("a").join(spans.alias("b"), on).select("a.__range", *(F.col(f"a.{k}") for k in keys), F.col("b.__end").alias("__before"))
+    ends = ranged.groupBy("__range", *keys).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("__end"))
+    # one row a range (and key): its value is carried over to the later ranges
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(before)).drop("__end")
     joined = local.join(starts, ["__range", *keys], "left")
     return joined.withColumn(out, F.coalesce("__own", "__before")).drop("__range", "__own", "__before")
 

@@ -138,3 +138,14 @@ def resource_texts(changes: DataFrame) -> DataFrame:
 def topology(changes: DataFrame) -> DataFrame:
     """Latest state of each resource uid, deleted ones taken out. (An extension: the rule as found stores no deletions.)"""
     return latest(changes, "uid", "seq").filter("change_type <> 'DELETED'")
+
+
+def enrich_pods(events: DataFrame, pods: DataFrame) -> DataFrame:
+    """``events`` with detail and short_state of their pods, '' for other kinds and for pods nothing is known about.
+
+    ``pods``: namespace, name (unique together), statuses (see ``pod_state``), deleted. A deleted pod reads as such.
+    """
+    detail, short = pod_state(F.coalesce("statuses", F.array().cast("array<struct<name:string,terminated_reason:string,exit_code:int,waiting_reason:string>>")))
+    known = pods.select("namespace", "name", F.lit("Pod").alias("obj_kind"), F.when(F.col("deleted"), "[Pod已删除]").otherwise(detail).alias("detail"), F.when(F.col("deleted"), "Deleted").otherwise(short).alias("short_state"))
+    joined = events.join(known, ["namespace", "name", "obj_kind"], "left")
+    return joined.withColumn("detail", F.coalesce("detail", F.lit(""))).withColumn("short_state", F.coalesce("short_state", F.lit("")))

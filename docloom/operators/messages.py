@@ -50,3 +50,14 @@ def analysis_view(a: Column) -> Column:
 def evaluation_view(e: Column) -> Column:
     """Text view of an evaluation struct<status, feedback>; "None" for null."""
     return F.when(e.isNull(), "None").otherwise(F.concat(F.lit("   - 评估状态: "), e["status"], F.lit("\n   - 反馈信息: "), e["feedback"]))
+
+
+def plan_view(p: Column) -> Column:
+    """Text view of a plan struct<action, search_queries, tool_name, tool_args, final_answer>; "None" for null."""
+    head = F.array(F.concat(F.lit("   - 动作类型: "), p["action"]))
+    queries = F.transform(p["search_queries"], lambda q, i: F.concat(F.lit("   - Query "), (i + 1).cast("string"), F.lit(": "), q))
+    tool = F.array(F.concat(F.lit("   - 调用工具: "), p["tool_name"]), F.concat(F.lit("   - 工具参数: "), p["tool_args"]))
+    answer = F.array(F.concat(F.lit("   - 最后回答: "), p["final_answer"]))
+    none = F.array().cast("array<string>")
+    rest = F.when(p["action"] == "Retrieve", queries).when(p["action"] == "Tool_Use", tool).when(p["action"] == "Direct_Answer", answer)
+    return F.when(p.isNull(), "None").otherwise(F.array_join(F.concat(head, F.coalesce(rest, none)), "\n"))

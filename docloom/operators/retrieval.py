@@ -141,10 +141,9 @@ def hybrid_search(queries: DataFrame, nodes: DataFrame, fields: Fields = Fields(
 
 def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The default sparse encoder: (key, term, w), share of each lower-case token among a text's tokens."""
-    tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(T.TOKEN), F.lit(0))).alias("term"))
-    counts = tokens.groupBy(key, "term").agg(F.count("*").alias("n"))
-    total = docs.select(key, T.token_count(F.lower(text)).alias("total"))
-    return counts.join(total, key).select(key, "term", (F.col("n") / F.col("total")).alias("w"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(T.TOKEN), F.lit(0))
+    rows = docs.select(key, tokens.alias("t")).select(key, F.size("t").alias("total"), F.explode("t").alias("term"))
+    return rows.groupBy(key, "total", "term").agg(F.count("*").alias("n")).select(key, "term", (F.col("n") / F.col("total")).alias("w"))
 
 
 def hashed_vector(text: str, dim: int = 64) -> Column:

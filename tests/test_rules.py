@@ -198,3 +198,35 @@ def test_messages(spark):
     assert ctx[0].text == "env!" and len(ctx) == 6
     v = spark.createDataFrame([(("s", "Q", "L", [("p", "Pod")]),), (None,)], "a struct<technical_summary:string,target_operation:string,risk_level:string,entities:array<struct<name:string,type:string>>>").select(M.analysis_view(F.col("a")).alias("v")).collect()
     assert v[0].v.endswith('[{"name": "p", "type": "Pod"}]') and v[1].v == "None"
+
+
+def test_fill_forward_over_ranges(spark, monkeypatch):
+    from docloom.operators import crawl_log
+
+    monkeypatch.setattr(crawl_log, "RANGE", 4)
+    rows = [(i, {1: "a", 10: "b", 17: "c"}.get(i), i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "o long, v string, g int")
+    got = {r.o: r.f for r in crawl_log.fill_forward(df, "o", "v", "f").collect()}
+    assert got == {i: None if i < 1 else "a" if i < 10 else "b" if i < 17 else "c" for i in range(20)}
+    got = {r.o: r.f for r in crawl_log.fill_forward(df, "o", "v", "f", by="g").collect()}
+    assert got == {i: ("b" if i >= 10 else None) if i % 2 == 0 else None if i < 1 else "a" if i < 17 else "c" for i in range(20)}
+
+
+def test_sql_functions(spark):
+    import uuid
+
+    from docloom.functions import registry
+
+    assert set(registry.register(spark)) == set(registry.FUNCTIONS) and "doc_cosine(" in registry.describe()
+    row = spark.sql("select doc_node_id('表 a') n, doc_event_id('') e, doc_token_count('a b，字字') t, doc_cosine(array(1D, 0D), array(2D, 2D)) c, doc_cosine(array(0D), array(1D)) z, doc_clean_url(' http://x/. ') u").first()
+    assert (row.n, row.e) == (str(uuid.uuid5(uuid.NAMESPACE_URL, "表 a")), str(uuid.uuid5(uuid.NAMESPACE_OID, "")))
+    assert (row.t, round(row.c, 6), row.z, row.u) == (5, 0.707107, 0.0, "http://x/")
+
+
+def test_pods_and_plans(spark):
+    ev = spark.createDataFrame([("n", "a", "Pod"), ("n", "b", "Pod"), ("n", "a", "Job"), (None, "c", "Pod")], "namespace string, name string, obj_kind string")
+    pods = spark.createDataFrame([("n", "a", [("c1", "Error", 1, None)], False), ("n", "b", None, True)], "namespace string, name string, statuses array<struct<name:string,terminated_reason:string,exit_code:int,waiting_reason:string>>, deleted boolean")
+    got = {(r.name, r.obj_kind): (r.detail, r.short_state) for r in E.enrich_pods(ev, pods).collect()}
+    assert got == {("a", "Pod"): ("[c1] Terminated: Error (ExitCode: 1)", "Error"), ("b", "Pod"): ("[Pod已删除]", "Deleted"), ("a", "Job"): ("", ""), ("c", "Pod"): ("", "")}
+    plan = spark.createDataFrame([(("Retrieve", ["x", "y"], None, None, None),), (None,)], "p struct<action:string,search_queries:array<string>,tool_name:string,tool_args:string,final_answer:string>")
+    assert [r.v for r in plan.select(M.plan_view(F.col("p")).alias("v")).collect()] == ["   - 动作类型: Retrieve\n   - Query 1: x\n   - Query 2: y", "None"]
