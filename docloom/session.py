@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ DEFAULTS = {
 }
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(master: str = "local[8]", app: str = "docloom", **conf: str) -> SparkSession:
@@ -32,6 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application, so that it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="docloom-code-"), "docloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
