@@ -14,5 +14,5 @@ def node_column() -> Column:
 
 def first_delivery(deliveries: DataFrame, *columns: str) -> DataFrame:
     """(node, columns) from the earliest delivery of each node; copies collapse before the shuffle."""
-    rows = deliveries.select(node_column().alias("node"), F.struct(F.col("delivery_no").cast("long").alias("__no"), *columns).alias("row"))
-    return rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")).select("node", *(F.col(f"row.{c}").alias(c) for c in columns))
+    rows = deliveries.select(node_column().alias("node"), F.col("delivery_no").cast("long").alias("__no"), *columns)
+    return rows.filter("node is not null").groupBy("node").agg(*(F.min_by(c, "__no").alias(c) for c in columns))
