@@ -37,10 +37,10 @@ class Fields:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision; 0 if either is all zero, null for null or unequal lengths."""
+    """Cosine of two arrays in double precision; 0 if either is all zero, null for null, unequal lengths or NaN."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms))
+    return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(F.nanvl(dot(a, b) / norms, F.lit(None).cast("double"))))
 
 
 def top(scored: DataFrame, by: str, key: str, k: int | Column, score: str = "score") -> DataFrame:
