@@ -56,7 +56,8 @@ def cut_places(level: np.ndarray, limit: int, overlap: int, window: float = 0.5)
         if n - begin <= room:
             out.append((begin, n))
             break
-        low, high = begin + max(1, int(room * (1 - window))), begin + room
+        # the first piece has at least the tokens that the second repeats
+        low, high = begin + max(1, int(room * (1 - window)), 0 if begin else overlap), begin + room
         part = level[low : high + 1]
         end = low + len(part) - 1 - int(np.argmin(part[::-1]))
         out.append((begin, end))
