@@ -37,3 +37,27 @@ def test_query(spark):
     got = [r.doc_id for r in S.find_spam(df).collect()]
     assert sorted(got) == sorted([1000 + i for i in range(len(BAD))] + [1000])
     assert S.find_spam(df.limit(0)).count() == 0
+
+
+def test_half_of_the_characters_is_the_limit(spark):
+    """Bare links far from the prose and tags are counted exactly, so a page is a case as soon as they pass one half."""
+    link = "https://shop.test/a/b/c\n"
+    prose = "".join(f"The controller{i} compares mount {i} with the one it stored before rollout {i * i} starts, and then it waits for {i + 7} minutes. " for i in range(12))
+    visible = sum(not c.isspace() for c in prose)
+    page = lambda share: link * round(visible * share / (1 - share) / (len(link) - 1)) + "\n" + prose
+    shares = [S.spam_share(page(x)) for x in (0.42, 0.56)]
+    assert abs(shares[0] - 0.42) < 0.03 and abs(shares[1] - 0.56) < 0.03, shares
+    df = spark.createDataFrame([(1, page(0.42)), (2, page(0.56))] + [(10 + i, PROSE * 3) for i in range(5)], "doc_id long, text string")
+    assert [r.doc_id for r in S.find_spam(df).collect()] == [2]
+
+
+def test_honest_sentences_are_no_list():
+    """Short sentences with many marks are no items, nor is a refrain; stuffed lists with function words are."""
+    assert S.spam_share("排空结束后，baulx 的两个副本共用一个边车；调度器最多重试 166 次。") == 0
+    own = [
+        "If the Job is stale, the mirror drops its image. ", "The upgrade from v2.17 took 33 minutes in edge. ", "v3.16 自带一个免费的证书工具，但是通知器最多重试 9 次。 ", "当租约耗尽时 kubelet 报告 ProbeWarning。 ",
+        "Traffic moves to the next ReplicaSet after 49 hours. ", "新运维人员的培训从镜像层开始。 ", "Every Ingress writes its panel before a lease ends. ", "旧版控制器会自动忽略 mountPath。 "]
+    refrain = "".join(x + "That also holds for yorrax. " for x in own)
+    assert S.spam_share(refrain) < 0.5
+    places = "Brackley Oakwell Thorncombe Westley Redcross Ferncross Redwell Brackfield Easthollow Redmere Highfield Millfen Ashwell Stonemoor Lowcross Northby".split()
+    assert S.spam_share("；".join(f"预算通知器 in {x} (kelir-broker)" for x in places)) > S.SPAM_SHARE
