@@ -3,8 +3,8 @@
 Every page becomes a sequence of word classes: function words by language, kinds of content words, numbers, links, marks.
 Content words that belong to a pair repeated densely on the page have classes of their own. A trigram model of classes is
 trained on all prose units (sentences with function words and an end) of the whole corpus; its counts fit into a table of
-fixed size. The surprisal of prose units gives the normal range, and a page with half of its characters in units
-whose perplexity is abnormally high or low is suspect. An exact check of the suspects' texts then decides: a page is spam
+fixed size. The surprisal of prose units gives the normal range, and a page with about a third of its characters
+in units whose perplexity is abnormally high or low, or in densely repeated words, is suspect. An exact check of the suspects' texts then decides: a page is spam
 if more than half of its characters are dense keywords, links without explaining sentences or lists of tags or goods.
 
 Code, logs, table rows and key-value lines are never counted as spam, nor are headings. Null, empty and blank texts are no
@@ -392,9 +392,9 @@ def spam_share(text: str) -> float:
     return float((spam & visible).sum() / visible.sum())
 
 
-def suspects(documents: DataFrame, key: str = "doc_id", least: float = 0.5, repeated: float = 0.35) -> DataFrame:
-    """(key, perplexity, abnormal) of the pages that the model finds abnormal: at least half of the characters, as the
-    problem counts them, lie in abnormal units; or a third of them in densely repeated words."""
+def suspects(documents: DataFrame, key: str = "doc_id", least: float = 0.35, repeated: float = 0.35) -> DataFrame:
+    """(key, perplexity, abnormal) of the pages that the model finds abnormal: about a third of the characters lie in abnormal
+    units or in densely repeated words. The bar is well below one half, as some stuffed sentences look normal."""
     seqs = sequences(documents, key)
     costs = train(seqs)
     mean, sd = normal_range(seqs, costs)

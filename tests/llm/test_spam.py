@@ -61,3 +61,17 @@ def test_honest_sentences_are_no_list():
     assert S.spam_share(refrain) < 0.5
     places = "Brackley Oakwell Thorncombe Westley Redcross Ferncross Redwell Brackfield Easthollow Redmere Highfield Millfen Ashwell Stonemoor Lowcross Northby".split()
     assert S.spam_share("；".join(f"预算通知器 in {x} (kelir-broker)" for x in places)) > S.SPAM_SHARE
+
+
+def test_pages_that_look_half_normal_are_suspects(spark):
+    """Stuffed sentences whose classes read like prose to the model are spam all the same, so the bar of the suspects is below one half."""
+    prose = "".join(f"The controller{i} compares mount {i} with the one it stored before rollout {i * i} starts, and then it waits for {i + 7} minutes. " for i in range(9))
+    plain = "The mirror is as the token was, and if the mount can, the probe will. " * 8
+    tags = " ".join(f"#tag{i}-a{i * 7} #item{i}-b{i * 3}" for i in range(40))
+    goods = "The lampshop is as the lampshop was, and if the lampshop can, the lampshop will. " * 6
+    page = prose + "\n" + tags + "\n" + goods
+    assert S.spam_share(page) > 0.52
+    df = spark.createDataFrame([(1, page)] + [(10 + i, prose + plain) for i in range(30)], "doc_id long, text string")
+    (found,) = S.suspects(df).filter("doc_id = 1").collect()
+    assert 0.35 <= found.abnormal < 0.48
+    assert [r.doc_id for r in S.find_spam(df).collect()] == [1]
