@@ -1,44 +1,57 @@
 """Sequential batching and segmentation folds over ordered lists.
 
-A fold has running state with resets, which no window frame expresses; each ordered group is folded by one JVM
-``aggregate``. Groups are documents, queries or sources, so that the lists stay short; a hot group is cut into ranges of at
-most ``GROUP_ROWS`` items first, each folded by itself.
+A fold has running state with resets, which no window frame expresses; each ordered group is folded in one task. Groups are documents, queries or sources. A group is folded whole: its state runs from the first item to the
+last. ``token_batches`` streams over sorted rows and holds only the open batch; the others hold a group's list in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-GROUP_ROWS = 10_000
-
+from collections.abc import Iterator
 
-def _ordered(items: DataFrame, group: str, order: str, *columns: str) -> DataFrame:
-    """One row for each group and range of the order column's values: a sorted array of (order, columns)."""
-    chunk = F.floor(F.col(order) / GROUP_ROWS)
-    return items.groupBy(group, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("items"))
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def token_batches(items: DataFrame, group: str, order: str, tokens: str, budget: int = 2048) -> DataFrame:
-    """(group, chunk, order, batch): greedy batches in order. An item above the budget is a batch by itself and leaves the open one open.
+    """(group, order, batch): greedy batches in order. An item above the budget is a batch by itself and leaves the open one open.
 
-    Batch numbers count in order of emission: an oversized item's number comes before the open batch's.
+    Batch numbers count in order of emission: an oversized item's number comes before the open batch's. Null tokens are none.
     """
-    rows = _ordered(items, group, order, tokens)
-    start = F.struct(F.lit(0).alias("next"), F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<{items.schema[order].dataType.simpleString()}>").alias("open"), F.array().cast(f"array<struct<o:{items.schema[order].dataType.simpleString()},b:int>>").alias("out"))
-    put = lambda xs, b: F.transform(xs, lambda o: F.struct(o.alias("o"), b.alias("b")))
-
-    def fold(s, x):
-        t, o = x[tokens].cast("long"), x[order]
-        big, full = t > budget, (F.size(s["open"]) > 0) & (s["sum"] + t > budget)
-        return F.struct(
-            F.when(big | full, s["next"] + 1).otherwise(s["next"]).alias("next"),
-            F.when(big, s["sum"]).when(full, t).otherwise(s["sum"] + t).alias("sum"),
-            F.when(big, s["open"]).when(full, F.array(o)).otherwise(F.concat(s["open"], F.array(o))).alias("open"),
-            F.when(big, F.concat(s["out"], put(F.array(o), s["next"]))).when(full, F.concat(s["out"], put(s["open"], s["next"]))).otherwise(s["out"]).alias("out"),
-        )
-
-    done = F.aggregate("items", start, fold, lambda s: F.concat(s["out"], put(s["open"], s["next"])))
-    return rows.select(group, "chunk", F.explode(done).alias("e")).select(group, "chunk", F.col("e.o").alias(order), F.col("e.b").alias("batch"))
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (group, order)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, total, number = None, [], 0, 0
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            g, o, b = zip(*out) if out else ((), (), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g, types[0]), pa.array(o, types[1]), pa.array(b, pa.int32())], [group, order, "batch"])
+
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in (0, 1)]
+            for g, o, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if g != now:
+                    out += [(now, x, number) for x in opened]
+                    now, opened, total, number = g, [], 0, 0
+                if t > budget:
+                    out.append((g, o, number))
+                    number += 1
+                    continue
+                if opened and total + t > budget:
+                    out += [(g, x, number) for x in opened]
+                    opened, total, number = [], 0, number + 1
+                opened.append(o)
+                total += t
+            yield made()
+        if types:
+            out += [(now, x, number) for x in opened]
+            yield made()
+
+    rows = items.select(group, order, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens"))
+    rows = rows.repartition(group).sortWithinPartitions(group, order, "tokens")
+    return rows.mapInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")
 
 
 def padded_batches(items: DataFrame, group: str, order: str, length: str, budget: int = 5000) -> DataFrame:

@@ -129,7 +129,7 @@ def format_docs(spark, d):
 
 def token_batches(spark, d):
     rows = _nodes(spark, d).filter("token_count > 0 and source is not null").select("source", "delivery_no", "token_count")
-    return batching.token_batches(rows, "source", "delivery_no", "token_count", 2048).drop("chunk")
+    return batching.token_batches(rows, "source", "delivery_no", "token_count", 2048)
 
 
 def padded_batches(spark, d):

@@ -111,6 +111,29 @@ def test_token_batches(spark):
     assert got == {1: 0, 0: 1, 4: 1, 2: 2, 3: 2}
 
 
+def test_token_batches_over_long_orders(spark):
+    """Batches run on past 10,000: against a plain loop, with unique numbers and no batch above the budget but single items."""
+    rows = [(g, o, 5 + o * 37 % 60 if o % 97 else 130) for g in ("a", "b") for o in range(9_000, 31_000, 7 if g == "a" else 11)]
+    got = {(r.g, r.o): r.batch for r in batching.token_batches(spark.createDataFrame(rows, "g string, o long, t long"), "g", "o", "t", 100).collect()}
+    want, sums = {}, {}
+    for g in ("a", "b"):
+        opened, total, number = [], 0, 0
+        for _, o, t in sorted(r for r in rows if r[0] == g):
+            if t > 100:
+                want[g, o], number = number, number + 1
+                continue
+            if total + t > 100 and opened:
+                want |= {(g, x): number for x in opened}
+                opened, total, number = [], 0, number + 1
+            opened, total = [*opened, o], total + t
+        want |= {(g, x): number for x in opened}
+    assert got == want
+    for g, o, t in rows:
+        sums.setdefault((g, got[g, o]), []).append(t)
+    assert all(sum(x) <= 100 or len(x) == 1 for x in sums.values())
+
+
+
 def test_pod_state_and_owner(spark):
     s = spark.createDataFrame([([("a", "Error", 1, None), ("b", None, None, "BackOff"), ("c", "OOMKilled", 137, None), ("d", "Error", 2, None)],), ([("a", None, None, "BackOff"), ("b", "Error", 1, None)],), ([],)], "s array<struct<name:string,terminated_reason:string,exit_code:int,waiting_reason:string>>")
     detail, short = E.pod_state(F.col("s"))
