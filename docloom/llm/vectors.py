@@ -7,8 +7,8 @@ above, and only pairs whose bound reaches the threshold are recomputed from the
 ``similar_pairs`` joins all vectors with all. Which tiles are multiplied follows from a random rotation: a vector's block is
 its largest signed coordinate, and it is also sent to the blocks of its next largest ones. A pair above the threshold meets
 unless both miss the other's block; the number of blocks visited is set by simulation so that this happens to at most
-``1 - RECALL`` of the pairs at the threshold, less above it. A very full task divides its rows again, by a second
-rotation, in memory: the work falls once more tenfold, at most another ``1 - RECALL`` is missed and nothing is sent.
+``1 - RECALL`` of the pairs at the threshold, less above it. A task multiplies all of its home
+rows with all of its visiting rows, however many they are, so the share that is missed doesn't depend on the size.
 ``nearest`` multiplies a stated query set with all vectors, every tile, and keeps the best k of each query.
 
 Equal vectors are one class: the join works on one representative of each and the members are joined afterwards, so a
@@ -35,8 +35,6 @@ DIM = 64
 RECALL = 0.9985
 #: Home rows and visiting rows of one tile task at most, about; fuller blocks are divided into a grid of tasks.
 TASK_HOME, TASK_VISIT = 262_144, 262_144
-#: A task with more pairs than this divides its rows once more by a second rotation, inside the task and without a shuffle.
-DIRECT_PAIRS = 200_000_000
 CODE = 16 + DIM + 8  # key, int8 values, scale and error
 
 
@@ -207,32 +205,9 @@ def _tile(h: tuple, v: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]
     return both[:, 0], both[:, 1]
 
 
-def _by_block(at: np.ndarray) -> list[np.ndarray]:
-    """Row numbers for each block, out of the blocks of each row."""
-    order = np.argsort(at.ravel(), kind="stable")
-    cuts = np.searchsorted(at.ravel()[order], np.arange(Blocks.COUNT + 1))
-    rows = order // at.shape[1]
-    return [rows[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-def _survivors(h: tuple, v: tuple, threshold: float, second: Blocks) -> tuple[np.ndarray, np.ndarray]:
-    """``_tile`` of all rows, or of the pairs that meet in a block of the second rotation if there are very many."""
-    if len(h[1]) * len(v[1]) <= DIRECT_PAIRS:
-        return _tile(h, v, threshold)
-    where = lambda t: np.concatenate([second.of(t[1][i : i + 4096] * t[2][i : i + 4096, :1]) for i in range(0, len(t[1]), 4096)])
-    ha, va = where(h), where(v)
-    found = [np.zeros(0, np.int64)]
-    for home, visit in ((_by_block(ha[:, :1]), _by_block(va)), (_by_block(ha), _by_block(va[:, :1]))):
-        for i, j in zip(home, visit):
-            r, c = _tile(tuple(x[i] for x in h), tuple(x[j] for x in v), threshold)
-            found.append(i[r] * len(v[1]) + j[c])
-    pairs = np.unique(np.concatenate(found))
-    return pairs // len(v[1]), pairs % len(v[1])
-
-
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """(field, a, b), a < b: pairs of different vectors that meet in a block and whose bound reaches the threshold."""
-    blocks, second = Blocks.suited(0, threshold), Blocks.suited(1, threshold)
+    blocks = Blocks.suited(0, threshold)
     tiles, counts = _tile_rows(classes, blocks), _tile_rows(classes, blocks, count_only=True)
     # at most two fields times the number of blocks, a constant: 256 rows
     full = counts.groupBy("field", "block").agg(F.sum(F.when(F.col("role") == "h", F.col("n"))).alias("h"), F.sum(F.when(F.col("role") == "v", F.col("n"))).alias("v")).filter("h > 0")
@@ -249,7 +224,7 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
         found: set = set()
         if own and visit:
             h, v = _unpack(own), _unpack(visit)
-            r, c = _survivors(h, v, threshold, second)
+            r, c = _tile(h, v, threshold)
             found = {(min(x, y), max(x, y)) for x, y in zip(map(bytes, h[0][r]), map(bytes, v[0][c])) if x != y}
         return pa.table({"field": pa.array([key[0].as_py()] * len(found), pa.string()), "a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 

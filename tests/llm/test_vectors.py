@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from docloom.llm import vectors as V
 from tests.nodes import table, uid
@@ -85,3 +86,28 @@ def test_ids_divisible(spark):
 def test_empty(spark):
     none = table(spark, [])
     assert V.similar_pairs(none).count() == 0 and V.nearest(none).count() == 0
+
+
+def test_full_task_misses_no_pair_that_meets(spark):
+    """16,000 vectors of one block, in pairs at cosine 0.905: 256 million products in one task, and no pair is lost."""
+    rng, blocks, n, dim = np.random.default_rng(3), V.Blocks(0, 1), 24_000, V.DIM
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.standard_normal((n, dim))
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    x, y = x @ blocks.turn, y @ blocks.turn  # the largest coordinate of x becomes the first, and positive, in both
+    at = np.abs(x).argmax(1)
+    for z in (y, x):
+        first = z[np.arange(n), at] * np.sign(x[np.arange(n), at])
+        z[np.arange(n), at], z[:, 0] = z[:, 0].copy(), first
+    x, y = x @ blocks.turn.T, y @ blocks.turn.T
+    same = np.flatnonzero((blocks.of(x.astype(np.float32))[:, 0] == 0) & (blocks.of(y.astype(np.float32))[:, 0] == 0))[:8_000]
+    assert len(same) == 8_000
+    both = np.stack([x[same], y[same]], 1).reshape(-1, dim)
+    q, scale, error = V.quantise(both)
+    code = np.concatenate([q.view(np.uint8), scale[:, None].view(np.uint8), error[:, None].view(np.uint8)], 1)
+    key = [i.to_bytes(16, "big") for i in range(len(code))]
+    classes = spark.createDataFrame(pa.table({"field": ["vector"] * len(code), "key": key, "code": [c.tobytes() for c in code]}))
+    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in V._candidates(classes, 0.9).collect()}
+    assert {(i, i + 1) for i in range(0, len(code), 2)} <= found
