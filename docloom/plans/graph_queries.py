@@ -136,14 +136,32 @@ def absolute_urls(spark, d):
 
 
 def html_pages(spark, d):
-    """Pages made of every document as HTML, converted to annotated Markdown and reduced to their links."""
+    """A short page of one form for every document, converted to annotated Markdown; ``html_documents`` converts whole texts."""
     docs = table(spark, d, "documents").filter("url is not null").select("doc_id", "url", "lang")
     page = F.concat(F.lit("<html><head><title>T "), F.col("doc_id").cast("string"), F.lit(" | Kubernetes</title></head><body><main><nav><ol><li><a href='/'>Docs</a></li><li><a href='/x'>Part</a></li></ol></nav><h1 id='top'>Head</h1><p>See <a href='/next/"), F.col("doc_id").cast("string"), F.lit("'>next <b>page</b></a>.</p><div class=\"toolbar\">no</div></main></body></html>"))
     text = html.convert_column(page, F.col("url"))
     return docs.select("doc_id", text.alias("markdown"))
 
 
-_ALL = (tree_chunks, tree_roots, link_resolution, link_stats, header_document, heading_scan, dup_title_numbering, unique_filenames, title_conflicts, sibling_links, child_join, tree_edges, subtree_preorder, dead_links, link_walk, tree_problems, title_collisions, crawl_frontier, absolute_urls, html_pages)
+def _document_pages(spark, d) -> DataFrame:
+    """(doc_id, url, page): every document's whole text as it stands, between a table, an alert, code and misnested headers with its lines."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.coalesce("url", F.lit("")).alias("url"), "text")
+    safe = F.replace(F.replace(F.replace(F.substring_index("text", "\n", 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    docs = docs.withColumn("line", safe).withColumn("id", F.col("doc_id").cast("string"))
+    page = F.concat(
+        F.lit("<html><head><title>T "), "id", F.lit(" | Kubernetes</title></head><body><main><nav><ol><li><a href='/'>Docs</a></li></ol></nav><h1 id='top'>Head</h1><h4>Deep</h4><h3>Less deep</h3><h5>概要</h5>"),
+        F.lit("<table><tr><th>id</th><th>line</th></tr><tr><td>"), "id", F.lit("</td><td>"), "line", F.lit("<br>end</td></tr><tr><td><ul><li>a</li><li>b</li></ul></td><td><pre>x\ny</pre></td></tr></table>"),
+        F.lit("<div class=\"alert alert-info\"><p>"), "line", F.lit("</p><h2>After "), "id", F.lit("</h2><p>moved</p></div><pre><code data-lang='yaml'>name: "), "line", F.lit("</code></pre><p>Use <code>a<code>b</code></code> and <tt></tt>.</p><div>"),
+        "text", F.lit("</div></main></body></html>"))
+    return docs.select("doc_id", "url", page.alias("page"))
+
+
+def html_documents(spark, d):
+    """Pages with the whole text of every document, converted to annotated Markdown."""
+    return _document_pages(spark, d).select("doc_id", html.convert_column(F.col("page"), F.col("url")).alias("markdown"))
+
+
+_ALL = (tree_chunks, tree_roots, link_resolution, link_stats, header_document, heading_scan, dup_title_numbering, unique_filenames, title_conflicts, sibling_links, child_join, tree_edges, subtree_preorder, dead_links, link_walk, tree_problems, title_collisions, crawl_frontier, absolute_urls, html_pages, html_documents)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NAME = "regexp_extract(url, '^https?://[^/]+/([^/#]*)', 1)"
