@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.functions.ids import canonical_id
@@ -62,19 +64,21 @@ def walk(nodes: DataFrame, starts: DataFrame, hops: int = 5, seed: int = 1) -> D
     return out
 
 
-def frontier(links: DataFrame, starts: DataFrame, rounds: int = 50) -> DataFrame:
+def frontier(links: DataFrame, starts: DataFrame) -> DataFrame:
     """(url, depth): pages reachable from ``starts(url)`` over ``links(src, dst)``, breadth first, each once.
 
     Every round joins only the newest pages; those seen before are taken out by an anti join. Stops when nothing is new.
     """
     seen = new = stash(starts.select("url").distinct().withColumn("depth", F.lit(0)), "seen")
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         found = new.join(links, new["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
         new = stash(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "new")
         if not new.limit(1).count():
             drop_stash(new)
             break
         seen = seen.unionByName(new)
+        if depth % 20 == 0:
+            seen = stash(seen, "seen")  # keeps the plan short on deep graphs
     return seen
 
 
