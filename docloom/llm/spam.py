@@ -165,7 +165,7 @@ def _texts(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[pa.RecordB
 
 
 def sequences(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, kinds, sizes): class and size of each token, one byte each, of every text that isn't blank; written."""
+    """(key, kinds, sizes): class (one byte) and size (four bytes) of each token, of every text that isn't blank; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier()
@@ -173,8 +173,9 @@ def sequences(documents: DataFrame, key: str = "doc_id") -> DataFrame:
             for batch in _texts(whole):
                 n, kind, size = classify(batch.column("text").to_pylist())
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                pack = lambda x: pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(x.astype(np.uint8).tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pack(kind), pack(np.minimum(size, 255))], ["key", "kinds", "sizes"])
+                wide = pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * np.int32(4))
+                pack = lambda x, at: pa.Array.from_buffers(pa.binary(), len(n), [None, at, pa.py_buffer(x.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pack(kind.astype(np.uint8), offsets), pack(size.astype(np.uint32), wide)], ["key", "kinds", "sizes"])
 
     rows = documents.filter(F.length(F.btrim("text", F.lit(" \t\r\n　 "))) > 0).select(F.col(key).alias("key"), "text")
     return stash(rows.mapInArrow(run, f"key {documents.schema[key].dataType.simpleString()}, kinds binary, sizes binary"), "classes")
@@ -183,7 +184,7 @@ def sequences(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds, sizes = batch.column("kinds").to_pylist(), batch.column("sizes").to_pylist()
     n = np.array([len(x) for x in kinds], np.int64)
-    return n, np.frombuffer(b"".join(kinds), np.uint8), np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+    return n, np.frombuffer(b"".join(kinds), np.uint8), np.frombuffer(b"".join(sizes), np.uint32).astype(np.int64)
 
 
 def train(seqs: DataFrame) -> np.ndarray:

@@ -75,3 +75,12 @@ def test_pages_that_look_half_normal_are_suspects(spark):
     (found,) = S.suspects(df).filter("doc_id = 1").collect()
     assert 0.35 <= found.abnormal < 0.48
     assert [r.doc_id for r in S.find_spam(df).collect()] == [1]
+
+
+def test_long_tokens_keep_their_length(spark):
+    """A url of 3,000 characters outweighs 600 characters of prose."""
+    page = PROSE * 4 + "\n\nhttps://shop.test/" + "cheapnode" * 333
+    df = spark.createDataFrame([(1, page)] + [(10 + i, PROSE * 4) for i in range(20)], "doc_id long, text string")
+    (n, _, size) = S._batch_arrays(S.sequences(df.filter("doc_id = 1")).select("key", "kinds", "sizes").toArrow().to_batches()[0])
+    assert len(size) == n[0] and size.max() > 3000
+    assert [r.doc_id for r in S.find_spam(df).collect()] == [1]
