@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import ids
 from docloom.operators import retrieval
+from docloom.operators.topk import sparse_topk
 
 #: Seconds that a key stays quiet, and how much of a message belongs to the key.
 TTL, KEY_CHARS = 60, 50
@@ -92,10 +93,8 @@ def static_anchors(events: DataFrame, nodes: DataFrame, key: str = "event_no") -
     texts are searched once.
     """
     texts = events.groupBy("abstract_text").agg(F.min(key).alias("query_id"))
-    q = retrieval.term_weights(texts, "query_id", "abstract_text").withColumnRenamed("w", "qw")
-    n = retrieval.term_weights(nodes, "pk", "text")
-    scored = q.join(n, "term").groupBy("query_id", "pk").agg(F.round(F.sum(F.col("qw") * F.col("w")), retrieval.DIGITS).alias("score"))
-    best = retrieval.top(scored, "query_id", "pk", 1).join(nodes.select("pk", F.col("title").alias("anchor_title")), "pk")
+    asked, held = retrieval.token_lists(texts, "query_id", "abstract_text"), retrieval.token_lists(nodes, "pk", "text")
+    best = sparse_topk(asked, held, "pk", 1, n_rows=nodes.count()).join(nodes.select("pk", F.col("title").alias("anchor_title")), "pk")
     return events.select(key, "abstract_text").join(texts, "abstract_text").join(best, "query_id").select(key, F.col("pk").alias("anchor_pk"), "anchor_title", "score")
 
 

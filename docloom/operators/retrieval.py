@@ -6,19 +6,15 @@ to the smaller id, so that results don't depend on the order of summation.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import ids, text as T
+from docloom.operators.topk import DIGITS, dense_topk, sparse_topk, top
 
-DIGITS = 8
-#: Query vectors of one pass over the nodes; larger sets are searched in several passes, so the broadcast is bounded.
-PASS_QUERIES = 4_096
 #: What a document's way of being found is worth in a merge.
 PRIORITY = {"dynamic_event": 4, "anchor": 3, "parent": 2, "link": 1, "sibling": 1, "unknown": 0}
 
@@ -43,54 +39,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(F.nanvl(dot(a, b) / norms, F.lit(None).cast("double"))))
 
 
-def top(scored: DataFrame, by: str, key: str, k: int | Column, score: str = "score") -> DataFrame:
-    """The best k rows of each ``by`` with their rank from 1; Spark prunes each partition to k first."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def dense_search(queries: DataFrame, nodes: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query_id, key, score, rank): exact cosine search of ``queries(query_id, vector)`` over all usable node vectors.
-
-    Query vectors are broadcast in blocks of PASS_QUERIES; each task keeps its best k of each query, so the shuffle
-    carries k rows a query and task. Null, zero, NaN-holding or wrongly long vectors are not found and find nothing.
-    """
-    spark = nodes.sparkSession
-    kind = nodes.schema[key].dataType.simpleString()
-    size = nodes.select(F.size(vector).alias("n")).filter("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], f"query_id long, {key} {kind}, score double, rank int")
-    if size is None:
-        return empty
-    dim = size["n"]
-    asked = queries.filter(F.size(vector) == dim).select("query_id", vector)
-    total, found = asked.count(), []
-    passes = -(-total // PASS_QUERIES)
-    for i in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow() if passes > 1 else asked.toArrow()
-        q = part[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        good = np.isfinite(q).all(1) & (q != 0).any(1)
-        number, q = part["query_id"].to_numpy()[good], q[good] / np.linalg.norm(q[good], axis=1, keepdims=True)
-        if not len(q):
-            continue
-        shared = spark.sparkContext.broadcast((number, q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            number, q = shared.value
-            for batch in batches:
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                good = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
-                if not len(good):
-                    continue
-                x = x[good] / np.linalg.norm(x[good], axis=1, keepdims=True)
-                score = np.round(q @ x.T, DIGITS)
-                m = min(k, score.shape[1])
-                low = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
-                r, c = np.nonzero(score >= low[:, None])  # ties stay: the key decides later
-                yield pa.RecordBatch.from_arrays([pa.array(number[r]), batch.column("k").take(pa.array(good[c])), pa.array(score[r, c])], ["query_id", key, "score"])
-
-        rows = nodes.filter(F.size(vector) == dim).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-        found.append(top(rows.mapInArrow(run, f"query_id long, {key} {kind}, score double"), "query_id", key, k))
-    return reduce(DataFrame.unionByName, found) if found else empty
+    """(query_id, key, score, rank): exact cosine search over all usable node vectors; see ``topk.dense_topk``."""
+    return dense_topk(queries, nodes, key, vector, k)
 
 
 def postings(nodes: DataFrame, key: str, sparse: str) -> DataFrame:
@@ -105,17 +56,17 @@ def csr_maps(indptr: Column, indices: Column, data: Column) -> Column:
 
 
 def sparse_search(queries: DataFrame, nodes: DataFrame, key: str, sparse: str, k: int, drop_ratio: float = 0.0, query_sparse: str | None = None) -> DataFrame:
-    """(query_id, key, score, rank) by inner product of term weights, over the postings.
+    """(query_id, key, score, rank) by inner product of term weights; see ``topk.sparse_topk``.
 
     ``drop_ratio`` leaves out that share of a query's terms, lowest weights first (0: exact). No common term: not found.
     """
-    q = postings(queries, "query_id", query_sparse or sparse).withColumnRenamed("w", "qw")
+    asked = queries.select("query_id", F.map_entries(query_sparse or sparse).alias("e")).filter("size(e) > 0")
     if drop_ratio > 0:
-        w = Window.partitionBy("query_id")
-        place = F.row_number().over(w.orderBy(F.desc("qw"), "term"))
-        q = q.withColumn("place", place).withColumn("n", F.count("*").over(w)).filter(F.col("place") <= F.ceil(F.col("n") * (1 - drop_ratio))).drop("place", "n")
-    scored = q.join(postings(nodes, key, sparse), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("qw") * F.col("w")), DIGITS).alias("score"))
-    return top(scored, "query_id", key, k)
+        heaviest = F.array_sort(F.transform("e", lambda x: F.struct((-x["value"]).alias("w"), x["key"].alias("key"), x["value"].alias("value"))))
+        asked = asked.withColumn("e", F.slice(heaviest, F.lit(1), F.ceil(F.size("e") * F.lit(1 - drop_ratio)).cast("int")))
+    asked = asked.select("query_id", F.col("e.key").alias("terms"), F.col("e.value").alias("weights"))
+    held = nodes.filter(F.size(sparse) > 0).select(key, F.map_keys(sparse).alias("terms"), F.map_values(sparse).alias("weights"))
+    return sparse_topk(asked, held, key, k, n_rows=nodes.count())
 
 
 def fuse(routes: list[DataFrame], key: str, k: int, rrf_k: int = 60) -> DataFrame:
@@ -146,6 +97,13 @@ def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "total", "term").agg(F.count("*").alias("n")).select(key, "term", (F.col("n") / F.col("total")).alias("w"))
 
 
+def token_lists(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms, weights) for ``topk.sparse_topk``: every lower-case token of a text with its share, so that sums are ``term_weights``."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(T.TOKEN), F.lit(0))
+    listed = rows.select(key, tokens.alias("terms")).filter(F.size("terms") > 0)
+    return listed.select(key, "terms", F.array_repeat(F.lit(1.0) / F.size("terms"), F.size("terms")).alias("weights"))
+
+
 def hashed_vector(text: str, dim: int = 64) -> Column:
     """The default dense encoder: signed hashing of lower-case tokens, unit norm; all zero for a text without tokens."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(T.TOKEN), F.lit(0))

@@ -45,7 +45,7 @@ def event_textify(spark, d):
 
 
 def _static(spark, d) -> DataFrame:
-    return _kept(spark, d).filter("partition_name = 'static_knowledge' and lower(node_type) = 'root'").select("pk", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    return _kept(spark, d).filter("partition_name = 'static_knowledge'").select("pk", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def event_anchor(spark, d):
@@ -128,7 +128,7 @@ tx AS (SELECT *, 'Alert: ' || coalesce(obj_kind, '') || ' ' || coalesce(name, ''
 tp AS (SELECT *, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(title)) AS u FROM tx),
 te AS (SELECT *, substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', 1 + (position(substr(u, 17, 1) IN '0123456789abcdef') - 1) % 4, 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12) AS pk FROM tp)"""
 _AN = f"""{_TX}, {_KEPT},
-st AS (SELECT id AS pk, coalesce(title, '') AS title, coalesce(text, '') AS text FROM kept WHERE partition_name = 'static_knowledge' AND lower(node_type) = 'root'),
+st AS (SELECT id AS pk, coalesce(title, '') AS title, coalesce(text, '') AS text FROM kept WHERE partition_name = 'static_knowledge'),
 qt AS (SELECT abstract_text, {_TOK.format('abstract_text')} AS tk FROM (SELECT DISTINCT abstract_text FROM te)),
 qw AS (SELECT abstract_text, term, count(*)::DOUBLE / any_value(n) AS qw FROM (SELECT abstract_text, unnest(tk) AS term, len(tk) AS n FROM qt) GROUP BY ALL),
 nw AS (SELECT pk, term, count(*)::DOUBLE / any_value(n) AS w FROM (SELECT pk, unnest({_TOK.format('text')}) AS term, len({_TOK.format('text')}) AS n FROM st) GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -52,14 +53,17 @@ def ship(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a folder of our own is made. The sub-folder of this
-    application is deleted when the driver ends.
+    Only where the setting is absent and the master is local (tests, one machine) a folder of our own is made; on a
+    cluster without the setting this raises, as executors would write to disks that no other reads. The sub-folder of
+    this application is deleted when the driver ends.
     """
     app = spark.sparkContext.applicationId
     if app in _roots:
         return _roots[app]
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
     root = f"{base.rstrip('/')}/docloom-{app}-{uuid.uuid4().hex[:8]}"
     _roots[app] = root
