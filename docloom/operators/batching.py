@@ -1,72 +1,139 @@
-"""Sequential batching and segmentation folds over ordered lists.
+"""Sequential batching and segmentation folds over ordered groups.
 
-A fold has running state with resets, which no window frame expresses; each ordered group is folded in one task. Groups are documents, queries or sources. A group is folded whole: its state runs from the first item to the
-last. ``token_batches`` streams over sorted rows and holds only the open batch; the others hold a group's list in one task.
+A fold has running state with resets, which no window frame expresses. Rows are sorted by group and order and stream through
+one Arrow function, which holds the open batch or run and never a whole group; a group's state runs from its first item to
+its last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
-def token_batches(items: DataFrame, group: str, order: str, tokens: str, budget: int = 2048) -> DataFrame:
-    """(group, order, batch): greedy batches in order. An item above the budget is a batch by itself and leaves the open one open.
+def streamed(rows: DataFrame, group: list[str], order: list[Column | str], columns: list[str], schema: str, fold: Callable[[], Fold]) -> DataFrame:
+    """Fold every group in order: rows are sorted by group and stream through, so a task holds only what the fold keeps.
 
-    Batch numbers count in order of emission: an oversized item's number comes before the open batch's. Null tokens are none.
+    ``fold()`` is a new fold for each group; it gets the values of ``columns`` one row at a time and yields output rows
+    (without the group's columns), at the end through ``end``.
     """
-    kinds = {c: items.schema[c].dataType.simpleString() for c in (group, order)}
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, opened, total, number = None, [], 0, 0
-        out: list[tuple] = []
+        now, state, out, types = None, None, [], None
 
         def made() -> pa.RecordBatch:
-            g, o, b = zip(*out) if out else ((), (), ())
+            columns_ = list(zip(*out)) if out else [()] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(g, types[0]), pa.array(o, types[1]), pa.array(b, pa.int32())], [group, order, "batch"])
+            kinds = dict(zip(names, pa_schema.types))
+            return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, kinds[n])) for n, c in zip(names, columns_)], names)
 
-        types = None
         for batch in batches:
-            types = [batch.schema.field(i).type for i in (0, 1)]
-            for g, o, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if g != now:
-                    out += [(now, x, number) for x in opened]
-                    now, opened, total, number = g, [], 0, 0
-                if t > budget:
-                    out.append((g, o, number))
-                    number += 1
-                    continue
-                if opened and total + t > budget:
-                    out += [(g, x, number) for x in opened]
-                    opened, total, number = [], 0, number + 1
-                opened.append(o)
-                total += t
+            types = {f.name: f.type for f in batch.schema}
+            cols = [batch.column(c).to_pylist() for c in (*group, *columns)]
+            for values in zip(*cols):
+                key, rest = values[: len(group)], values[len(group) :]
+                if state is None or key != now:
+                    if state is not None:
+                        out += [(*now, *x) for x in state.end()]
+                    now, state = key, fold()
+                out += [(*key, *x) for x in state.add(*rest)]
             yield made()
-        if types:
-            out += [(now, x, number) for x in opened]
+        if state is not None:
+            out += [(*now, *x) for x in state.end()]
             yield made()
 
-    rows = items.select(group, order, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens"))
-    rows = rows.repartition(group).sortWithinPartitions(group, order, "tokens")
-    return rows.mapInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")
+    pa_schema = to_arrow_schema(_parse_datatype_string(schema))
+    sorted_rows = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    return sorted_rows.mapInArrow(run, schema)
 
 
-def padded_batches(items: DataFrame, group: str, order: str, length: str, budget: int = 5000) -> DataFrame:
-    """(group, order, batch): by falling length (order breaks ties), a batch closes when count times its longest would pass the budget."""
-    kind = items.schema[order].dataType.simpleString()
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col(length).cast("long")).alias("n"), F.col(order).alias("o")))).alias("items"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("m"), F.array().cast(f"array<struct<o:{kind},b:int>>").alias("out"))
+class Fold:
+    """State of one group."""
+
+    def add(self, *values) -> Iterable[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+class _Batches(Fold):
+    def __init__(self, budget: int):
+        self.budget, self.open, self.total, self.number = budget, [], 0, 0
 
-    def fold(s, x):
-        size = -x["n"]
-        fits = (s["k"] + 1) * F.greatest(s["m"], size) <= budget
-        b = F.when(fits | (s["k"] == 0), s["b"]).otherwise(s["b"] + 1)
-        return F.struct(b.alias("b"), F.when(fits, s["k"] + 1).otherwise(1).alias("k"), F.when(fits, F.greatest(s["m"], size)).otherwise(size).alias("m"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), b.alias("b")))).alias("out"))
+    def add(self, item, tokens: int) -> list[tuple]:
+        if tokens > self.budget:
+            self.number += 1
+            return [(item, self.number - 1)]
+        closed = []
+        if self.open and self.total + tokens > self.budget:
+            closed = list(self.end())
+            self.open, self.total, self.number = [], 0, self.number + 1
+        self.open.append(item)
+        self.total += tokens
+        return closed
 
-    return rows.select(group, F.explode(F.aggregate("items", start, fold, lambda s: s["out"])).alias("e")).select(group, F.col("e.o").alias(order), F.col("e.b").alias("batch"))
+    def end(self) -> list[tuple]:
+        return [(x, self.number) for x in self.open]
+
+
+class _Padded(Fold):
+    def __init__(self, budget: int):
+        self.budget, self.batch, self.count, self.longest = budget, 0, 0, 0
+
+    def add(self, item, size: int) -> list[tuple]:
+        if self.count and (self.count + 1) * max(self.longest, size) > self.budget:
+            self.batch, self.count, self.longest = self.batch + 1, 0, 0
+        self.count, self.longest = self.count + 1, max(self.longest, size)
+        return [(item, self.batch)]
+
+
+class _Runs(Fold):
+    def __init__(self, low: int, target: int):
+        self.low, self.target, self.items, self.sizes, self.run, self.segment = low, target, [], [], 0, 0
+
+    def add(self, item, size: int) -> list[tuple]:
+        if size < self.target:
+            self.items.append(item)
+            self.sizes.append(size)
+            return []
+        out = [*self.end(), (item, self.run, self.segment)]
+        self.run, self.segment = self.run + 1, self.segment + 1
+        return out
+
+    def end(self) -> list[tuple]:
+        if not self.items:
+            return []
+        out = []
+        for a, b in segments(self.sizes, self.low, self.target):
+            out += [(x, self.run, self.segment) for x in self.items[a:b]]
+            self.segment += 1
+        self.items, self.sizes, self.run = [], [], self.run + 1
+        return out
+
+
+def _kinds(items: DataFrame, *names: str) -> str:
+    return ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in names)
+
+
+def token_batches(items: DataFrame, group: str, order: str, tokens: str, budget: int = 2048) -> DataFrame:
+    """(group, order, batch): greedy batches in order. An item above the budget is a batch by itself and leaves the open one open.
+
+    Batch numbers count in order of emission: an oversized item's number comes before the open batch's. Null tokens are none.
+    """
+    rows = items.select(group, order, F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__n"))
+    return streamed(rows, [group], [order, "__n"], [order, "__n"], _kinds(items, group, order) + ", batch int", lambda: _Batches(budget))
+
+
+def padded_batches(items: DataFrame, group: str, order: str, length: str, budget: int = 5000) -> DataFrame:
+    """(group, order, batch): by falling length (order breaks ties), a batch closes when count times its longest would pass the budget."""
+    rows = items.select(group, order, F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("__n"))
+    return streamed(rows, [group], [F.desc("__n"), order], [order, "__n"], _kinds(items, group, order) + ", batch int", lambda: _Padded(budget))
 
 
 def segments(tokens: list[int], low: int, target: int) -> list[tuple[int, int]]:
@@ -91,24 +158,8 @@ def segments(tokens: list[int], low: int, target: int) -> list[tuple[int, int]]:
 
 def merge_segments(items: DataFrame, group: str, order: str, tokens: str, low: int = 256, target: int = 512) -> DataFrame:
     """(group, order, run, segment): runs of neighbours below the target, each cut by ``segments``; larger items stay alone."""
-    kind = items.schema[order].dataType.simpleString()
-
-    @F.udf(f"array<struct<o:{kind},run:int,segment:int>>")
-    def cut(rows):
-        out, run, segment, begin = [], 0, 0, 0
-        while begin < len(rows):
-            end = begin
-            while end < len(rows) and rows[end][1] < target:
-                end += 1
-            parts = segments([r[1] for r in rows[begin:end]], low, target) if end > begin else [(0, 1)]
-            for a, b in parts:
-                out += [(rows[i][0], run, segment) for i in range(begin + a, begin + b)]
-                segment += 1
-            run, begin = run + 1, max(end, begin + 1)
-        return out
-
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(tokens).cast("long")))).alias("items"))
-    return rows.select(group, F.explode(cut("items")).alias("e")).select(group, F.col("e.o").alias(order), F.col("e.run").alias("run"), F.col("e.segment").alias("segment"))
+    rows = items.select(group, order, F.col(tokens).cast("long").alias("__n")).filter("__n is not null")
+    return streamed(rows, [group], [order, "__n"], [order, "__n"], _kinds(items, group, order) + ", run int, segment int", lambda: _Runs(low, target))
 
 
 def leaf_runs(items: DataFrame, group: str, order: str, mergeable: Column) -> DataFrame:

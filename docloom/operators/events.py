@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import ids
 from docloom.operators import retrieval
+from docloom.operators.batching import Fold, streamed
 from docloom.operators.topk import sparse_topk
 
 #: Seconds that a key stays quiet, and how much of a message belongs to the key.
@@ -26,23 +27,27 @@ def dedup_key(message: str = "message") -> list[Column]:
 def suppress_repeats(events: DataFrame, time: str, order: str, ttl: int = TTL, keys: list[str] | None = None) -> DataFrame:
     """The events that a time-to-live filter lets through: the first of a key, then whatever comes ``ttl`` or more after the last one let through.
 
-    A suppressed event doesn't extend the silence. Times are seconds; events without one are let through. Each key's events
-    are folded in order of (time, ``order``) as narrow pairs. Only the first event of a key and second matters to the fold,
-    so equal seconds collapse before the shuffle, however large a storm is.
+    A suppressed event doesn't extend the silence. Times are seconds; events without one are let through. A key's events
+    stream through a fold in order of (time, ``order``) that holds one number. Only the first event of a key and second
+    matters to it, so equal seconds collapse before the shuffle, however large a storm is.
     """
     named = events if keys else events.withColumn("__head", F.substring("message", 1, KEY_CHARS))
     keys = keys or ["namespace", "obj_kind", "name", "reason", "__head"]
-    timed = named.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.min(order).alias(order))
-    lists = timed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{events.schema[order].dataType.simpleString()}>").alias("kept"))
+    timed = named.filter(F.col(time).isNotNull()).groupBy(*keys, F.col(time).cast("long").alias("__t")).agg(F.min(order).alias("__no"))
+    schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in keys) + f", __no {events.schema[order].dataType.simpleString()}"
+    kept = streamed(timed, keys, ["__t", "__no"], ["__no", "__t"], schema, lambda: _Silence(ttl)).select(F.col("__no").alias(order))
+    return events.join(kept, order, "left_semi").unionByName(events.filter(F.col(time).isNull()))
 
-    def fold(s, x):
-        go = s["last"].isNull() | (x["t"] - s["last"] >= ttl)
-        return F.struct(F.when(go, x["t"].cast("long")).otherwise(s["last"]).alias("last"), F.when(go, F.concat(s["kept"], F.array(x["o"]))).otherwise(s["kept"]).alias("kept"))
 
-    kept = lists.select(F.explode(F.aggregate("all", start, fold, lambda s: s["kept"])).alias(order))
-    out = events.join(kept, order, "left_semi")
-    return out.unionByName(events.filter(F.col(time).isNull()))
+class _Silence(Fold):
+    def __init__(self, ttl: int):
+        self.ttl, self.last = ttl, None
+
+    def add(self, number, at: int) -> list[tuple]:
+        if self.last is not None and at - self.last < self.ttl:
+            return []
+        self.last = at
+        return [(number,)]
 
 
 def clean_events(events: DataFrame) -> DataFrame:

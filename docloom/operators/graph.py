@@ -51,14 +51,17 @@ def dead_links(nodes: DataFrame) -> DataFrame:
 
 
 def walk(nodes: DataFrame, starts: DataFrame, hops: int = 5, seed: int = 1) -> DataFrame:
-    """(start, hop, pk): a walk over internal links for each start, choices fixed by ``seed``; it ends where no live link is."""
+    """(start, hop, pk): a walk over internal links for each start; it ends where no live link is.
+
+    At each node the link with the smallest hash of (start, link, ``seed``) is taken.
+    """
     links = nodes.select("pk", F.explode("related_links").alias("l")).filter("l.type = 'internal'").select("pk", canonical_id(F.col("l.pk")).alias("next")).filter("next is not null").distinct()
     links = stash(links.join(nodes.select(F.col("pk").alias("next")), "next", "left_semi"), "links")
     at = starts.select(F.col("pk").alias("start"), F.lit(0).alias("hop"), "pk")
     out = at
     for hop in range(1, hops + 1):
         # hops are few: each reads the chosen links once
-        choice = F.min_by("next", F.struct(F.xxhash64("start", "next", F.lit(seed)), "next"))
+        choice = F.min(F.struct(F.md5(F.concat("start", "next", F.lit(str(seed)))), "next"))["next"]
         at = stash(at.join(links, "pk").groupBy("start").agg(choice.alias("pk")).select("start", F.lit(hop).alias("hop"), "pk"), "hop")
         out = out.unionByName(at)
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import ids, text as T
 from docloom.operators.topk import DIGITS, dense_topk, sparse_topk, top
+from docloom.session import stash
 
 #: What a document's way of being found is worth in a merge.
 PRIORITY = {"dynamic_event": 4, "anchor": 3, "parent": 2, "link": 1, "sibling": 1, "unknown": 0}
@@ -140,13 +141,13 @@ def ancestors(anchors: DataFrame) -> DataFrame:
     return rows.select("query_id", "pk", "step", ids.uuid5(title, ids.NAMESPACE_URL).alias("ancestor"))
 
 
-def expand_parents(anchors: DataFrame, nodes: DataFrame, queries: DataFrame, decay: float = 0.75, floor: float = 0.2) -> DataFrame:
+def expand_parents(anchors: DataFrame, nodes: DataFrame, queries: DataFrame, decay: float = 0.75, floor: float = 0.2, order: str = "pk") -> DataFrame:
     """(query_id, pk, anchor, step, score): ancestors of the anchors that stay similar to the query.
 
     ``anchors``: query_id, pk, title, summary_vector; ``nodes``: pk, summary_vector; ``queries``: query_id, vector. The walk
     goes from the longest title prefix up. A missing node, one without a vector or one that is an anchor itself is
     skipped; one below ``decay`` times the last score or not above ``floor`` ends its chain. Without an anchor vector the
-    walk starts at 0.5. Each ancestor is emitted once for a query, for the anchor of smallest pk.
+    walk starts at 0.5. Each ancestor is emitted once for a query, for the first anchor by ``order``, a column of anchors.
     """
     queries = queries.select("query_id", F.col("vector").alias("q"))
     start = anchors.join(queries, "query_id").select("query_id", "pk", F.round(F.coalesce(cosine(F.col("q"), F.col("summary_vector")), F.lit(0.5)), DIGITS).alias("start"))
@@ -162,8 +163,9 @@ def expand_parents(anchors: DataFrame, nodes: DataFrame, queries: DataFrame, dec
         return F.struct(F.when(ok, x["sim"]).otherwise(s["now"]).alias("now"), ok.alias("go"), F.when(ok, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
 
     walked = steps.select("query_id", F.col("pk").alias("anchor"), F.explode(F.aggregate("steps", state, walk, lambda s: s["out"])).alias("e"))
-    w = Window.partitionBy("query_id", "e.ancestor").orderBy("anchor")
-    return walked.withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", F.col("e.ancestor").alias("pk"), "anchor", F.col("e.step").alias("step"), F.col("e.sim").alias("score"))
+    place = anchors.select("query_id", F.col("pk").alias("anchor"), F.col(order).alias("place"))
+    w = Window.partitionBy("query_id", "e.ancestor").orderBy("place")
+    return walked.join(place, ["query_id", "anchor"]).withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", F.col("e.ancestor").alias("pk"), "anchor", F.col("e.step").alias("step"), F.col("e.sim").alias("score"))
 
 
 def expand_links(anchors: DataFrame, nodes: DataFrame, queries: DataFrame, seen: DataFrame, proportion: float = 0.5, most: int = 10) -> DataFrame:
@@ -184,11 +186,22 @@ def expand_links(anchors: DataFrame, nodes: DataFrame, queries: DataFrame, seen:
     return top(scored.join(limit, "query_id"), "query_id", "pk", F.col("limit")).select("query_id", "pk", "source_type", "score", "rank")
 
 
-def expand(anchors: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, pk, source_type, score): parents, then links that are neither anchors nor parents found before."""
-    parents = expand_parents(anchors, nodes, queries).select("query_id", "pk", F.lit("parent").alias("source_type"), "score")
+def expand(anchors: DataFrame, nodes: DataFrame, queries: DataFrame, order: str = "pk") -> DataFrame:
+    """(query_id, pk, source_type, score, seq): parents, then links that are neither anchors nor parents found before.
+
+    ``seq`` puts a query's rows in order: parents by (``order`` of their anchor, step up), then links by rank.
+    """
+    parents = stash(expand_parents(anchors, nodes, queries, order=order), "parents")
     seen = anchors.select("query_id", "pk").unionByName(parents.select("query_id", "pk"))
-    return parents.unionByName(expand_links(anchors, nodes, queries, seen).drop("rank"))
+    place = anchors.select("query_id", F.col("pk").alias("anchor"), F.row_number().over(Window.partitionBy("query_id").orderBy(order)).alias("at"))
+    up = parents.join(place, ["query_id", "anchor"]).select("query_id", "pk", F.lit("parent").alias("source_type"), "score", sequence_key(1, "at", "step"))
+    return up.unionByName(expand_links(anchors, nodes, queries, seen).select("query_id", "pk", "source_type", "score", sequence_key(2, "rank")))
+
+
+def sequence_key(stage: int, first: str | Column, second: str | Column = "0") -> Column:
+    """``seq`` of a candidate: its stage and its place there. Structs compare field by field."""
+    number = lambda c: (F.expr(c) if isinstance(c, str) else c).cast("long")
+    return F.struct(F.lit(stage).alias("stage"), number(first).alias("first"), number(second).alias("second")).alias("seq")
 
 
 def lexical_logits(query: Column, text: Column) -> tuple[Column, Column]:

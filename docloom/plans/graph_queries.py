@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from docloom.functions import html, ids, tree
 from docloom.operators import graph, hierarchy
 from docloom.plans.core_problems import _BASE, _LINKS, _canon
-from docloom.plans.retrieval_queries import _KEPT, _kept
+from docloom.plans.retrieval_queries import _KEPT, _kept, _kept_once
 from docloom.session import stash, table
+from docloom.sources import readers
 
 
 def _docs(spark, d) -> DataFrame:
@@ -35,19 +36,34 @@ def tree_roots(spark, d):
     return roots.join(urls, "source").select("source", "pk", F.array_contains("entry_urls", F.col("url")).alias("owns_url"))
 
 
+def _stored_links(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes) of the stored nodes. A link's url is the one its target is entered by, every third with another
+    fragment; links without a target keep theirs, as the stored urls themselves belong to no node."""
+    nodes = _kept_once(spark, d)
+    entry = nodes.select(F.col("pk").alias("to"), F.get("entry_urls", 0).alias("entry")).filter("entry is not null")
+    links = nodes.select("pk", "delivery_no", F.posexplode("related_links").alias("pos", "l")).select("pk", "delivery_no", "pos", F.coalesce("l.text", F.lit("")).alias("anchor"), F.coalesce("l.url", F.lit("")).alias("own"), ids.canonical_id(F.col("l.pk")).alias("to"))
+    changed = F.when((F.col("delivery_no") + F.col("pos")) % 3 == 0, F.concat(F.substring_index("entry", "#", 1), F.lit("#other"))).otherwise(F.col("entry"))
+    return links.join(entry, "to", "left").select("pk", "anchor", F.coalesce(changed, "own").alias("url")), nodes
+
+
 def link_resolution(spark, d):
-    return tree.resolve_links(stash(_chunks(spark, d), "chunks"))
+    return tree.resolve_urls(*_stored_links(spark, d))
 
 
 def link_stats(spark, d):
-    nodes = stash(_chunks(spark, d), "chunks")
-    return tree.link_statistics(nodes, tree.resolve_links(nodes))
+    links, nodes = _stored_links(spark, d)
+    return tree.link_statistics(nodes, tree.resolve_urls(links, nodes))
+
+
+def tree_links(spark, d):
+    """Links between the trees of all documents, resolved."""
+    return tree.resolve_links(stash(_chunks(spark, d), "chunks"))
 
 
 def header_document(spark, d):
     """Head (first four lines) and body of every document."""
-    lines = F.split("text", "\n", -1)
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(F.array_join(F.slice(lines, 1, 4), "\n")).alias("head_md5"), F.md5(F.array_join(F.slice(lines, F.lit(5), F.size(lines)), "\n")).alias("body_md5"))
+    docs = readers.header_and_body(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5("header").alias("head_md5"), F.md5("body").alias("body_md5"))
 
 
 def heading_scan(spark, d):
@@ -111,21 +127,18 @@ def tree_problems(spark, d):
 
 
 def title_collisions(spark, d):
-    """Ids that different titles would share: none unless two sources use one full title."""
-    rows = table(spark, d, "knowledge_base_v3").filter("title is not null and source is not null").select("title", "source").distinct()
-    return rows.groupBy("title").agg(F.count("*").alias("n_sources")).filter("n_sources > 1")
-
-
-def _page_links(spark, d) -> DataFrame:
-    """A link graph over the documents' urls: each page to three others, exact, with a fragment, and to a missing page."""
-    pages = table(spark, d, "documents").filter("url is not null").select("doc_id", F.regexp_replace("url", "#.*$", "").alias("url"))
-    hop = pages.select(F.col("url").alias("src"), F.explode(F.array(*((F.col("doc_id") * 7 + k).alias(f"k{k}") for k in range(3)))).alias("to"))
-    return hop.join(pages.select(F.col("doc_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+    """Ids that several titles claim: their rule would give these titles ids of their own."""
+    rows = table(spark, d, "knowledge_base_v3").filter("title is not null").select(ids.node_id(F.col("pk"), F.col("title"), F.col("partition_name")).alias("pk"), "title").distinct()
+    return rows.groupBy("pk").agg(F.count("*").alias("n_titles"), F.min("title").alias("first_title")).filter("n_titles > 1")
 
 
 def crawl_frontier(spark, d):
-    first = table(spark, d, "documents").filter("doc_id < 3 and url is not null").select(F.regexp_replace("url", "#.*$", "").alias("url"))
-    return graph.frontier(stash(_page_links(spark, d).distinct(), "links"), first)
+    """Pages reached from the tops of all trees over contents and internal links, with the fewest steps."""
+    nodes = _kept_once(spark, d)
+    up = nodes.select(ids.canonical_id(F.col("parent_id")).alias("src"), F.col("pk").alias("dst")).filter("src is not null")
+    across = nodes.select(F.col("pk").alias("src"), F.explode("related_links").alias("l")).filter("l.type = 'internal'").select("src", ids.canonical_id(F.col("l.pk")).alias("dst")).filter("dst is not null")
+    tops = nodes.filter("partition_name = 'static_knowledge'").select(F.col("pk").alias("url"), ids.canonical_id(F.col("parent_id")).alias("p")).filter("p is null").select("url")
+    return graph.frontier(stash(up.unionByName(across).distinct(), "links"), tops)
 
 
 def absolute_urls(spark, d):
@@ -161,12 +174,17 @@ def html_documents(spark, d):
     return _document_pages(spark, d).select("doc_id", html.convert_column(F.col("page"), F.col("url")).alias("markdown"))
 
 
-_ALL = (tree_chunks, tree_roots, link_resolution, link_stats, header_document, heading_scan, dup_title_numbering, unique_filenames, title_conflicts, sibling_links, child_join, tree_edges, subtree_preorder, dead_links, link_walk, tree_problems, title_collisions, crawl_frontier, absolute_urls, html_pages, html_documents)
+_ALL = (tree_chunks, tree_roots, tree_links, link_resolution, link_stats, header_document, heading_scan, dup_title_numbering, unique_filenames, title_conflicts, sibling_links, child_join, tree_edges, subtree_preorder, dead_links, link_walk, tree_problems, title_collisions, crawl_frontier, absolute_urls, html_pages, html_documents)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NAME = "regexp_extract(url, '^https?://[^/]+/([^/#]*)', 1)"
 _LIST = f"listed AS (SELECT id AS parent, pos, {_canon('c')} AS pk FROM (SELECT id, unnest(child_ids) AS c, generate_subscripts(child_ids, 1) - 1 AS pos FROM kept))"
 
+_RESOLVED = f"""lk AS (SELECT id AS pk, delivery_no, k - 1 AS pos, coalesce(l.text, '') AS anchor, coalesce(l.url, '') AS own, {_canon('l.pk')} AS goal FROM (SELECT id, delivery_no, unnest(related_links, recursive := false) AS l, generate_subscripts(related_links, 1) AS k FROM kept)),
+ur AS (SELECT lk.pk, anchor, coalesce(CASE WHEN (lk.delivery_no + pos) % 3 = 0 THEN string_split(t.entry_urls[1], '#')[1] || '#other' ELSE t.entry_urls[1] END, own) AS url FROM lk LEFT JOIN kept t ON t.id = lk.goal),
+ow AS (SELECT url, arg_max(id, row(source, id)) AS owner FROM (SELECT id, source, unnest(entry_urls) AS url FROM kept) WHERE url IS NOT NULL GROUP BY url),
+rs AS (SELECT ur.*, coalesce(a.owner, b.owner) AS target, CASE WHEN coalesce(a.owner, b.owner) IS NULL THEN 'external' ELSE 'internal' END AS type FROM ur LEFT JOIN ow a ON a.url = ur.url LEFT JOIN ow b ON b.url = string_split(ur.url, '#')[1])"""
+
 SQL = {
     "tree_roots": r"SELECT doc_id::VARCHAR AS source, substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || substr('89ab', 1 + (position(substr(u, 17, 1) IN '0123456789abcdef') - 1) % 4, 1) || substr(u, 18, 3) || '-' || substr(u, 21, 12) AS pk, owns_url FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc' || doc_id)) AS u, true AS owns_url FROM documents)",
     "header_document": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:4], chr(10))) AS head_md5, md5(coalesce(array_to_string(string_split(text, chr(10))[5:], chr(10)), '')) AS body_md5 FROM documents WHERE text IS NOT NULL",
@@ -183,11 +201,22 @@ SELECT w.root, md5(string_agg(f.text, chr(10) || chr(10) ORDER BY w.k)) AS md5,
     "tree_problems": f"""WITH {_KEPT}, {_LIST}, d AS (SELECT DISTINCT parent, pk FROM listed WHERE pk IS NOT NULL)
 SELECT id AS pk, 'not listed by its parent' AS problem FROM kept k WHERE parent IS NOT NULL AND parent IN (SELECT id FROM kept) AND NOT EXISTS (SELECT 1 FROM d WHERE d.parent = k.parent AND d.pk = k.id)
 UNION ALL SELECT DISTINCT d.pk, 'listed by another node' FROM d JOIN kept k ON k.id = d.pk WHERE k.parent IS NULL OR k.parent <> d.parent""",
-    "title_collisions": "SELECT title, count(DISTINCT source) AS n_sources FROM knowledge_base_v3 WHERE title IS NOT NULL AND source IS NOT NULL GROUP BY title HAVING count(DISTINCT source) > 1",
-    "crawl_frontier": """WITH RECURSIVE p AS (SELECT doc_id, regexp_replace(url, '#.*$', '') AS url FROM documents WHERE url IS NOT NULL),
-l AS (SELECT DISTINCT a.url AS src, b.url AS dst FROM p a, (VALUES (0), (1), (2)) k(k) JOIN p b ON b.doc_id = a.doc_id * 7 + k.k),
-f(url, depth) AS (SELECT DISTINCT url, 0 FROM p WHERE doc_id < 3 UNION SELECT l.dst, f.depth + 1 FROM f JOIN l ON l.src = f.url WHERE f.depth < 50)
-SELECT url, min(depth) AS depth FROM f GROUP BY url""",
+    "title_collisions": f"WITH {_BASE} SELECT node AS pk, count(DISTINCT title) AS n_titles, min(title) AS first_title FROM ided WHERE title IS NOT NULL GROUP BY node HAVING count(DISTINCT title) > 1",
+    "crawl_frontier": f"""WITH RECURSIVE {_KEPT},
+e AS (SELECT DISTINCT parent AS src, id AS dst FROM kept WHERE parent IS NOT NULL UNION SELECT id, {_canon('t')} FROM (SELECT id, unnest(list_filter(related_links, lambda x: x.type = 'internal')).pk AS t FROM kept)),
+f(url, depth) USING KEY (url) AS (
+  SELECT id, 0 FROM kept WHERE partition_name = 'static_knowledge' AND parent IS NULL
+  UNION SELECT e.dst, min(f.depth + 1) FROM f JOIN e ON e.src = f.url WHERE e.dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM recurring.f g WHERE g.url = e.dst) GROUP BY e.dst)
+SELECT url, depth FROM f""",
+    "link_walk": f"""WITH RECURSIVE {_KEPT},
+x AS (SELECT DISTINCT id AS pk, {_canon('t')} AS next FROM (SELECT id, unnest(list_filter(related_links, lambda x: x.type = 'internal')).pk AS t FROM kept)),
+live AS (SELECT pk, next FROM x WHERE next IN (SELECT id FROM kept)),
+w(start, hop, pk) AS (SELECT id, 0, id FROM kept WHERE lower(node_type) = 'root'
+  UNION ALL SELECT w.start, w.hop + 1, arg_min(l.next, md5(w.start || l.next || '1')) FROM w JOIN live l ON l.pk = w.pk WHERE w.hop < 5 GROUP BY w.start, w.hop)
+SELECT start, hop, pk FROM w""",
+    "link_resolution": f"WITH {_KEPT}, {_RESOLVED} SELECT pk, anchor, url, target, type FROM rs",
+    "link_stats": f"""WITH {_KEPT}, {_RESOLVED}, per AS (SELECT pk, count(*) AS n, count(target) AS inside FROM rs GROUP BY pk)
+SELECT (SELECT sum(len(entry_urls))::BIGINT FROM kept) AS anchors, (SELECT max(len(entry_urls)) FROM kept) AS most_anchors, sum(n)::BIGINT AS links, sum(inside)::BIGINT AS resolved, max(n) AS most_links FROM per""",
     "absolute_urls": r"""SELECT doc_id, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN href LIKE '#%' THEN regexp_extract(url, '^([^#]*)', 1) || href
   ELSE CASE WHEN regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/)?)', 1) LIKE '%/' THEN regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/)?)', 1) ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' END || href END AS "full"
 FROM documents, (VALUES ('https://a.test/x'), ('/root/p'), ('#frag'), ('sub/page'), ('//b.test/y'), ('mailto:x')) h(href) WHERE url IS NOT NULL""",

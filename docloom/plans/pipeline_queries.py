@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docloom.functions import ids
 from docloom.operators import messages as M
 from docloom.plans import event_queries, pipeline
-from docloom.plans.core_problems import _BASE
-from docloom.plans.retrieval_queries import _KEPT, _kept
+from docloom.plans.core_problems import _BASE, _canon
+from docloom.plans.retrieval_queries import _COS, _GOOD, _KEPT, _SOME, _TOK, _WALK, _kept, _kept_once, _links
 from docloom.session import scratch, stash, table
 from docloom.sources import readers, store
 from docloom.streaming import event_stream
@@ -78,11 +78,12 @@ def stream_event_store(spark, d):
 
 
 def retrieval(spark, d):
-    """The whole answer path for every node whose id is divisible by 20: search, expansion, merge and rerank."""
-    nodes = stash(_kept(spark, d), "nodes")
-    asked = nodes.filter("delivery_no % 20 = 0").select(F.col("delivery_no").alias("query_id"), F.coalesce("title", F.lit("")).alias("text"), "vector", "sparse_vector")
-    usable = (F.size("summary_vector") == 64) & ~F.exists("summary_vector", lambda x: F.isnan(x))
-    return pipeline.retrieve(stash(asked, "asked"), nodes.withColumn("summary_vector", F.when(usable, F.col("summary_vector"))))
+    """The whole answer path for every node whose delivery is divisible by 20: search, expansion, merge and rerank."""
+    nodes = _kept_once(spark, d)
+    sound = lambda c: (F.size(c) == 64) & ~F.exists(c, lambda x: F.isnan(x))
+    vector = F.when(sound("vector") & F.exists("vector", lambda x: x != 0), F.col("vector"))
+    asked = nodes.filter("delivery_no % 20 = 0").select(F.col("delivery_no").alias("query_id"), F.coalesce("title", F.lit("")).alias("text"), vector.alias("vector"), "sparse_vector")
+    return pipeline.retrieve(stash(asked, "asked"), nodes.withColumn("summary_vector", F.when(sound("summary_vector"), F.col("summary_vector"))))
 
 
 def build_nodes(spark, d):
@@ -121,8 +122,45 @@ def format_reflections(spark, d):
 _ALL = (filtered_scan, limited_scan, batch_fetch, partition_scan, store_cycle, sparse_index, stream_ttl_dedup, stream_event_store, retrieval, build_nodes, last_four_messages, last_assistant_message, inject_system_context, format_reflections)
 QUERIES = {f.__name__: f for f in _ALL}
 
+_ROUTE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk)"
+
+
+def _hybrid(name: str, partition: str, k: int) -> str:
+    """SQL of the hybrid search over one partition: ``name``(query_id, pk, rank)."""
+    sparse = lambda field: f"""SELECT query_id, pk, {_ROUTE} AS rank FROM (SELECT query_id, pk, round(sum(qw * w), 8) AS score FROM qt JOIN
+  (SELECT id AS pk, unnest(map_keys({field})) AS term, unnest(map_values({field})) AS w FROM kept WHERE partition_name = '{partition}') USING (term) GROUP BY ALL) QUALIFY rank <= {2 * k}"""
+    return f"""{name}_routes AS (
+  SELECT query_id, pk, {_ROUTE} AS rank FROM (SELECT q.query_id, n.id AS pk, {_COS('q.vector', 'n.vector')} AS score FROM qv q, kept n WHERE partition_name = '{partition}' AND {_GOOD('n.vector')} AND {_SOME('n.vector')}) QUALIFY rank <= {2 * k}
+  UNION ALL {sparse('sparse_vector')} UNION ALL {sparse('title_sparse')}),
+{name} AS (SELECT query_id, pk, {_ROUTE} AS rank FROM (SELECT query_id, pk, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM {name}_routes GROUP BY ALL) QUALIFY rank <= {k})"""
+
+
+_RETRIEVAL = f"""WITH RECURSIVE {_KEPT},
+asked AS (SELECT delivery_no AS query_id, coalesce(title, '') AS query, vector, sparse_vector FROM kept WHERE delivery_no % 20 = 0),
+qv AS (SELECT query_id, vector FROM asked WHERE {_GOOD('vector')} AND {_SOME('vector')}),
+qt AS (SELECT query_id, unnest(map_keys(sparse_vector)) AS term, unnest(map_values(sparse_vector)) AS qw FROM asked),
+{_hybrid('found', 'static_knowledge', 5)}, {_hybrid('events_', 'dynamic_events', 2)},
+st AS (SELECT * FROM kept WHERE partition_name = 'static_knowledge'),
+anchors AS (SELECT f.query_id, f.pk, k.title, f.rank AS seq, CASE WHEN {_GOOD('k.summary_vector')} THEN k.summary_vector END AS sv, k.l, k.r, k.related_links FROM found f JOIN st k ON k.id = f.pk),
+{_WALK.replace('JOIN kept k', 'JOIN st k')},
+par AS (SELECT w.query_id, w.ancestor AS pk, a.seq AS nth, w.step, w.sim AS score FROM walk w JOIN anchors a ON a.query_id = w.query_id AND a.pk = w.pk WHERE w.i > 0 QUALIFY row_number() OVER (PARTITION BY w.query_id, w.ancestor ORDER BY a.seq) = 1),
+{_links('SELECT query_id, pk FROM anchors UNION ALL SELECT query_id, pk FROM par').replace('JOIN kept k', 'JOIN st k')},
+hit AS (SELECT e.query_id, e.rank, unnest(related_links, recursive := false) AS l, generate_subscripts(related_links, 1) AS nth FROM events_ e JOIN kept k ON k.id = e.pk),
+cand AS (
+  SELECT query_id, pk, 'anchor' AS source_type, 3 AS p, rank * 1000 AS seq FROM found
+  UNION ALL SELECT query_id, pk, 'parent', 2, 1000000000 + nth * 1000 + step FROM par
+  UNION ALL SELECT query_id, pk, source_type, 1, 2000000000 + rank * 1000 FROM ranked WHERE rank <= lim
+  UNION ALL SELECT query_id, pk, 'dynamic_event', 4, 3000000000 + rank * 1000 FROM events_
+  UNION ALL SELECT query_id, {_canon('hit.l.pk')}, 'link', 1, 3000000000 + rank * 1000 + nth FROM hit WHERE hit.l.type = 'static_anchor' AND hit.l.pk <> ''),
+merged AS (SELECT query_id, pk, min(seq) AS seq, arg_min(source_type, -p * 10000000000 + seq) AS source_type FROM cand WHERE pk IS NOT NULL GROUP BY query_id, pk),
+s AS (SELECT m.query_id, m.pk, m.seq, m.source_type, coalesce(lower(k.node_type) = 'dynamic_event', false) AS is_event, {_TOK.format('a.query')} AS q, {_TOK.format("coalesce(k.text, '')")} AS x FROM merged m JOIN kept k ON k.id = m.pk JOIN asked a ON a.query_id = m.query_id),
+r AS (SELECT query_id, pk, seq, source_type, is_event, CASE WHEN is_event THEN 0.999 ELSE round(1 / (1 + exp(len(list_distinct(q)) - 2 * len(list_intersect(list_distinct(q), list_distinct(x))))), 8) END AS rerank_score FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_event ORDER BY CASE WHEN is_event THEN 0 ELSE -rerank_score END, seq) AS place FROM r)
+SELECT query_id, pk, source_type, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY is_event DESC, place) AS rank, is_event FROM p WHERE is_event OR place <= 5"""
+
 _TURN = "t AS (SELECT name AS conv_id, event_no AS turn, ['user', 'assistant', 'system'][event_no % 3 + 1] AS role, message AS text FROM runtime_events WHERE name IS NOT NULL AND message IS NOT NULL)"
 SQL = {
+    "retrieval": _RETRIEVAL,
     "filtered_scan": "SELECT delivery_no, level, node_type FROM knowledge_base_v3 WHERE source LIKE '%.md' AND NOT (level = 0) AND node_type IN ('leaf', 'section')",
     "limited_scan": "SELECT delivery_no, token_count FROM knowledge_base_v3 WHERE token_count >= 100 ORDER BY delivery_no LIMIT 500",
     "batch_fetch": f"WITH {_KEPT} SELECT id AS pk, delivery_no FROM kept WHERE id IN (SELECT l FROM kept WHERE l IS NOT NULL)",

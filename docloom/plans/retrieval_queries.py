@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docloom.functions import ids
 from docloom.operators import batching, retrieval as R
-from docloom.session import table
+from docloom.session import stash, table
 
 _FIELDS = R.Fields(key="delivery_no")
 
@@ -68,6 +68,11 @@ def _kept(spark, d) -> DataFrame:
     return rows.join(first, "delivery_no", "left_semi")
 
 
+def _kept_once(spark, d) -> DataFrame:
+    """``_kept`` written, for plans that read it several times."""
+    return stash(_kept(spark, d), "kept")
+
+
 def _anchors(spark, d, nodes) -> DataFrame:
     """Every static node is the anchor of one query, made of it and the 19 nodes delivered around it."""
     return nodes.filter("partition_name = 'static_knowledge' and title is not null").withColumn("query_id", F.floor(F.col("delivery_no") / 20).cast("long")).withColumn("seq", F.col("delivery_no"))
@@ -89,19 +94,19 @@ def title_ancestors(spark, d):
 
 
 def parent_expansion(spark, d):
-    nodes = _usable(_kept(spark, d))
+    nodes = _usable(_kept_once(spark, d))
     return R.expand_parents(_anchors(spark, d, nodes), nodes, _query_vectors(nodes))
 
 
 def link_expansion(spark, d):
-    nodes = _usable(_kept(spark, d))
+    nodes = _usable(_kept_once(spark, d))
     anchors = _anchors(spark, d, nodes)
     return R.expand_links(anchors, nodes, _query_vectors(nodes), anchors)
 
 
 def graph_expansion(spark, d):
-    nodes = _usable(_kept(spark, d))
-    return R.expand(_anchors(spark, d, nodes), nodes, _query_vectors(nodes))
+    nodes = _usable(_kept_once(spark, d))
+    return R.expand(_anchors(spark, d, nodes), nodes, _query_vectors(nodes)).drop("seq")
 
 
 def _candidates(spark, d) -> DataFrame:
@@ -186,6 +191,7 @@ walk(query_id, pk, i, step, ancestor, sim) AS (
   SELECT a.query_id, a.pk, 0::BIGINT, 0::BIGINT, '', CASE WHEN a.sv IS NULL THEN 0.5 WHEN {_SOME('a.sv')} THEN {_COS('qv.vector', 'a.sv')} ELSE 0.0 END FROM anchors a JOIN qv ON qv.query_id = a.query_id
   UNION ALL SELECT n.query_id, n.pk, n.i, n.step, n.ancestor, n.sim FROM walk w JOIN num n ON n.query_id = w.query_id AND n.pk = w.pk AND n.i = w.i + 1 WHERE n.sim >= 0.75 * w.sim AND n.sim > 0.2),
 par AS (SELECT query_id, ancestor AS pk, pk AS anchor, step, sim AS score FROM walk WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY query_id, ancestor ORDER BY pk) = 1)"""
+_WALK = _EXP[_EXP.index("tp AS (") : _EXP.index(",\npar AS")]  # ancestors and the walk up, from ``anchors`` and ``qv``
 
 
 def _links(seen: str) -> str:
@@ -249,6 +255,21 @@ f(g, i, b, k, m) AS (
     CASE WHEN (f.k + 1) * greatest(f.m, x.t) <= 5000 THEN f.k + 1 ELSE 1 END, CASE WHEN (f.k + 1) * greatest(f.m, x.t) <= 5000 THEN greatest(f.m, x.t) ELSE x.t END
   FROM f JOIN items x ON x.g = f.g AND x.i = f.i + 1)
 SELECT x.g AS source, x.o AS delivery_no, f.b AS batch FROM f JOIN items x ON x.g = f.g AND x.i = f.i""",
+    "merge_dp_segments": """WITH RECURSIVE items AS (SELECT parent_id AS g, delivery_no AS o, token_count AS t, row_number() OVER (PARTITION BY parent_id ORDER BY delivery_no) AS i FROM knowledge_base_v3 WHERE token_count > 0 AND parent_id IS NOT NULL),
+s AS (SELECT *, CASE WHEN t < 256 AND coalesce(lag(t) OVER (PARTITION BY g ORDER BY i), 256) < 256 THEN 0 ELSE 1 END AS begins FROM items),
+r AS (SELECT g, o, t, i, sum(begins) OVER (PARTITION BY g ORDER BY i) - 1 AS run FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY g, run ORDER BY i) AS j, sum(t) OVER (PARTITION BY g, run ORDER BY i) AS ps FROM r),
+p AS (SELECT g, run, list_prepend(0::HUGEINT, list(ps ORDER BY j)) AS ps, count(*) AS m, max(t) AS big FROM n GROUP BY g, run),
+f(g, run, i, best, back) AS (
+  SELECT g, run, 0::BIGINT, [0::BIGINT], [0::BIGINT] FROM p WHERE big < 256
+  UNION ALL
+  SELECT g, run, i + 1, list_append(best, x.c), list_append(back, x.b) FROM (
+    SELECT f.g, f.run, f.i, f.best, f.back, list_sort(list_filter(list_transform(range(0, f.i + 1), lambda b: {'c': f.best[b + 1] + CASE WHEN p.ps[f.i + 2] - p.ps[b + 1] < 64 THEN 1 ELSE 0 END, 'last': -b, 'b': b, 'fits': p.ps[f.i + 2] - p.ps[b + 1] <= 256}), lambda y: y.fits))[1] AS x
+    FROM f JOIN p ON p.g = f.g AND p.run = f.run WHERE f.i < p.m)),
+fin AS (SELECT f.g, f.run, f.back, p.m FROM f JOIN p ON p.g = f.g AND p.run = f.run AND f.i = p.m),
+b(g, run, e, s, back) AS (SELECT g, run, m, back[m + 1], back FROM fin UNION ALL SELECT g, run, s, back[s + 1], back FROM b WHERE s > 0),
+num AS (SELECT g, run, s, e, row_number() OVER (PARTITION BY g ORDER BY run, s) - 1 AS segment FROM (SELECT g, run, s, e FROM b UNION ALL SELECT g, run, 0, m FROM p WHERE big >= 256))
+SELECT n.g AS parent_id, n.o AS delivery_no, n.run, num.segment FROM n JOIN num ON n.g = num.g AND n.run = num.run AND n.j > num.s AND n.j <= num.e""",
     "leaf_runs": """WITH m AS (SELECT source, delivery_no, coalesce(lower(node_type) = 'leaf' AND token_count < 100, false) AS m FROM knowledge_base_v3 WHERE source IS NOT NULL),
 s AS (SELECT *, CASE WHEN m AND coalesce(lag(m) OVER (PARTITION BY source ORDER BY delivery_no), false) THEN 0 ELSE 1 END AS s FROM m)
 SELECT source, delivery_no, sum(s) OVER (PARTITION BY source ORDER BY delivery_no)::BIGINT AS run FROM s""",

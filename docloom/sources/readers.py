@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions.ids import canonical_id
 
@@ -23,9 +23,16 @@ def header_and_body(docs: DataFrame, text: str = "text", lines: int = 4) -> Data
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of log files, lines numbered from 0 within each file. One file is read by one task."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n", -1)).alias("line_no", "value"))
+    """(file, line_no, value) of log files, lines numbered from 0 within each file.
+
+    A large file is read in splits: lines are numbered within each and moved on by the lines of the splits before.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value").withColumn("at", F.monotonically_increasing_id())
+    lines = raw.withColumn("n", F.row_number().over(Window.partitionBy("file", "split").orderBy("at")))
+    sizes = lines.groupBy("file", "split").agg(F.max("n").alias("size"))
+    # one row a split, so the window over a file's splits is small
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sizes.select("file", "split", before.alias("before")), ["file", "split"]).select("file", (F.col("before") + F.col("n") - 1).alias("line_no"), "value")
 
 
 def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
