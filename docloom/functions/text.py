@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 BLANK = r"(?U)[\s\x1c-\x1f]"
 #: The markers of the annotated Markdown.
@@ -151,3 +151,9 @@ def utf8(c: Column | str) -> Column:
     """Bytes as text; what isn't UTF-8 is read as the fallback code page."""
     c = _col(c)
     return F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, "ISO-8859-1"))
+
+
+def over_limits(schema: StructType, limits: dict[str, int]) -> Column:
+    """Names of the fields that exceed their limit: bytes of a text, items of a list; null exceeds none."""
+    size = lambda c: F.size(c) if isinstance(schema[c].dataType, ArrayType) else F.octet_length(c)
+    return F.array_compact(F.array(*(F.when(size(c) > n, c) for c, n in limits.items())))

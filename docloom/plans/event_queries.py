@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from docloom.functions import ids
 from docloom.operators import crawl_log as L, events as E
+from docloom.plans.core_problems import _BASE, _canon
 from docloom.plans.retrieval_queries import _KEPT, _TOK, _kept
 from docloom.session import stash, table
 
@@ -62,14 +64,42 @@ def event_upsert_latest(spark, d):
 
 
 def event_collisions(spark, d):
-    """Titles, and with them ids, that events of several namespaces share."""
-    return _texts(spark, d).groupBy("title").agg(F.countDistinct("namespace").alias("n")).filter("n > 1")
+    """Titles, and with them ids, under which events of different texts would be stored."""
+    return _texts(spark, d).groupBy("title").agg(F.countDistinct("abstract_text").alias("n")).filter("n > 1")
+
+
+def _pods(spark, d) -> DataFrame:
+    """What is known about pods: the latest event of each, as the state of one container."""
+    last = E.latest(_clean(spark, d).filter("lower(obj_kind) = 'pod' and namespace is not null and name is not null").select(F.concat_ws("/", "namespace", "name").alias("k"), "at", "event_no", "namespace", "name", "reason"), "k", "at", "event_no")
+    ended = F.col("reason").isin("OOMKilled", "Error", "CrashLoopBackOff")
+    status = F.struct(F.lit("main").alias("name"), F.when(ended, F.col("reason")).alias("terminated_reason"), F.when(ended, 137).alias("exit_code"), F.when(~F.coalesce(ended, F.lit(False)), F.col("reason")).alias("waiting_reason"))
+    return last.select("namespace", "name", F.array(status).alias("statuses"), F.coalesce(F.col("reason") == "Killing", F.lit(False)).alias("deleted"))
 
 
 def event_enrich(spark, d):
-    """Events joined to what is known about their subject, where it is known: a left join."""
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    return table(spark, d, "events").select("event_id", "user_id").join(customers, "user_id", "left").select("event_id", F.coalesce("c_mktsegment", F.lit("unknown")).alias("segment"))
+    """Events with the state of their pods in the text forms; '' for other kinds and for pods nothing is known about."""
+    rows = E.enrich_pods(_clean(spark, d).withColumn("timestamp_str", F.col("at").cast("string")), stash(_pods(spark, d), "pods"))
+    return E.textify(rows).select("event_no", "detail", "short_state", "title", F.md5("specific_text").alias("specific_md5"))
+
+
+def _changes(spark, d) -> DataFrame:
+    """Deliveries and deletions of nodes as changes of resources."""
+    nodes = table(spark, d, "knowledge_base_v3").select(ids.node_id(F.col("pk"), F.col("title"), F.col("partition_name")).alias("uid"), F.unix_micros(F.col("delivered_at").cast("timestamp")).alias("seq"), "delivery_no", "title", "node_type", "partition_name", "parent_id").filter("uid is not null")
+    first = Window.partitionBy("uid").orderBy("seq", "delivery_no")
+    owner = F.struct(F.coalesce("parent_id", F.lit("")).alias("uid"), F.lit("Node").alias("kind"), F.lit(True).alias("controller"))
+    came = nodes.select("uid", F.struct("seq", "delivery_no").alias("seq"), F.when(F.row_number().over(first) == 1, "ADDED").otherwise("MODIFIED").alias("change_type"), F.coalesce(F.lower("node_type"), F.lit("")).alias("obj_kind"), F.coalesce("title", F.lit("")).alias("name"), F.col("partition_name").alias("namespace"), F.array(owner).alias("owner_references"))
+    gone = table(spark, d, "node_deletions").select(ids.canonical_id(F.col("pk")).alias("uid"), F.struct(F.unix_micros(F.col("deleted_at").cast("timestamp")).alias("seq"), (F.col("deletion_no") + 10**12).alias("delivery_no")).alias("seq"), F.lit("DELETED").alias("change_type")).filter("uid is not null")
+    return came.unionByName(gone, allowMissingColumns=True)
+
+
+def resource_changes(spark, d):
+    """The text forms of every change of a node."""
+    return E.resource_texts(_changes(spark, d).filter("change_type <> 'DELETED'")).select(F.col("seq.delivery_no").alias("delivery_no"), "title", "parent_uid", F.md5("specific_text").alias("specific_md5"), "abstract_text")
+
+
+def resource_topology(spark, d):
+    """The nodes whose last change is no deletion."""
+    return E.topology(_changes(spark, d)).select(F.col("uid").alias("pk"), F.col("seq.delivery_no").alias("delivery_no"), "change_type")
 
 
 def asof_start_save(spark, d):
@@ -108,7 +138,7 @@ def error_summary(spark, d):
     return L.error_lines(L.errors(_log(spark, d)))
 
 
-_ALL = (event_cleaning, warning_events, ttl_dedup, ttl_dedup_users, event_textify, event_anchor, event_upsert_latest, event_collisions, event_enrich, asof_start_save, log_workers, crawl_totals, file_conflicts, unsaved_urls, file_differences, error_taxonomy, error_summary)
+_ALL = (event_cleaning, warning_events, ttl_dedup, ttl_dedup_users, event_textify, event_anchor, event_upsert_latest, event_collisions, event_enrich, resource_changes, resource_topology, asof_start_save, log_workers, crawl_totals, file_conflicts, unsaved_urls, file_differences, error_taxonomy, error_summary)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EV = """ev AS (SELECT *, coalesce(CASE WHEN timestamp BETWEEN 946684800 AND 4102444800 THEN timestamp END, floor(epoch(try_cast(timestamp_str AS TIMESTAMPTZ)))::BIGINT, floor(epoch(received_at))::BIGINT) AS at_ FROM runtime_events),
@@ -153,8 +183,21 @@ SQL = {
     "event_textify": f"WITH {_TX} SELECT event_no, pk, title, md5(abstract_text) AS abstract_md5, md5(specific_text) AS specific_md5 FROM te",
     "event_anchor": f"WITH {_AN} SELECT te.event_no, an.anchor_pk, st.title AS anchor_title, an.score FROM te JOIN an ON an.abstract_text = te.abstract_text JOIN st ON st.pk = an.anchor_pk",
     "event_upsert_latest": f"WITH {_AN} SELECT te.pk, te.at_ AS timestamp, md5(specific_text) AS text_md5, coalesce(an.anchor_pk, '') AS parent_id, len(specific_text) AS token_count FROM te LEFT JOIN an ON an.abstract_text = te.abstract_text QUALIFY row_number() OVER (PARTITION BY te.pk ORDER BY te.at_ DESC, md5(specific_text) DESC) = 1",
-    "event_collisions": f"WITH {_TX} SELECT title, count(DISTINCT namespace) AS n FROM te GROUP BY title HAVING count(DISTINCT namespace) > 1",
-    "event_enrich": "SELECT event_id, coalesce(c_mktsegment, 'unknown') AS segment FROM events LEFT JOIN customer ON c_custkey = user_id",
+    "event_collisions": f"WITH {_TX} SELECT title, count(DISTINCT abstract_text) AS n FROM te GROUP BY title HAVING count(DISTINCT abstract_text) > 1",
+    "event_enrich": f"""WITH {_EV},
+pod AS (SELECT namespace, name, (max({{'a': at_, 'b': event_no, 'reason': reason}})).reason AS reason FROM (SELECT namespace, name, at_, event_no, reason FROM cl WHERE lower(obj_kind) = 'pod' AND namespace IS NOT NULL AND name IS NOT NULL) GROUP BY ALL),
+ps AS (SELECT namespace, name, CASE WHEN reason = 'Killing' THEN '[Pod已删除]' WHEN reason IS NULL THEN '' WHEN reason IN ('OOMKilled', 'Error', 'CrashLoopBackOff') THEN '[main] Terminated: ' || reason || ' (ExitCode: 137)' ELSE '[main] Waiting: ' || reason END AS detail,
+  CASE WHEN reason = 'Killing' THEN 'Deleted' ELSE coalesce(reason, '') END AS short_state FROM pod),
+en AS (SELECT cl.*, coalesce(ps.detail, '') AS detail, coalesce(ps.short_state, '') AS short_state FROM cl LEFT JOIN ps ON cl.namespace = ps.namespace AND cl.name = ps.name AND cl.obj_kind = 'Pod')
+SELECT event_no, detail, short_state, 'Alert: ' || coalesce(obj_kind, '') || ' ' || coalesce(name, '') || ' - ' || coalesce(reason, '') || CASE WHEN short_state <> '' THEN ' [' || short_state || ']' ELSE '' END AS title,
+  md5('【运行警报】' || chr(10) || 'Resource: ' || coalesce(obj_kind, '') || ' ' || coalesce(namespace, '') || '/' || coalesce(name, '') || chr(10) || 'Reason: ' || coalesce(reason, '') || chr(10) || 'Message: ' || coalesce(message, '') || chr(10) || 'State: ' || CASE WHEN detail <> '' THEN detail ELSE 'N/A' END || chr(10) || 'Time: ' || coalesce(at_::VARCHAR, '')) AS specific_md5 FROM en""",
+    "resource_changes": f"""WITH {_BASE}, c AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY delivered_at, delivery_no) AS n FROM ided WHERE node IS NOT NULL),
+a AS (SELECT *, CASE WHEN n = 1 THEN '已上线/部署' ELSE '配置变更/状态更新' END AS act, coalesce(lower(node_type), '') AS obj, coalesce(title, '') AS nm, coalesce(parent_id, '') AS up FROM c)
+SELECT delivery_no, 'Resource: ' || nm || ' (' || obj || ')' AS title, up AS parent_uid,
+  md5('【资源拓扑变更】' || chr(10) || 'Resource: ' || obj || '/' || nm || chr(10) || 'Namespace: ' || partition_name || chr(10) || 'Action: ' || act || chr(10) || 'Parent: Node (UID: ' || up || ')' || chr(10)) AS specific_md5, obj || ' ' || act || ' in ' || partition_name AS abstract_text FROM a""",
+    "resource_topology": f"""WITH {_BASE}, c AS (SELECT node AS pk, delivered_at AS t, delivery_no, CASE WHEN row_number() OVER (PARTITION BY node ORDER BY delivered_at, delivery_no) = 1 THEN 'ADDED' ELSE 'MODIFIED' END AS change_type FROM ided WHERE node IS NOT NULL
+  UNION ALL SELECT {_canon('pk')}, deleted_at, deletion_no + 1000000000000, 'DELETED' FROM node_deletions)
+SELECT pk, delivery_no, change_type FROM (SELECT * FROM c WHERE pk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pk ORDER BY t DESC NULLS LAST, delivery_no DESC) = 1) WHERE change_type <> 'DELETED'""",
     "asof_start_save": f"WITH {_LG} SELECT line_no, url, file FROM pr",
     "log_workers": f"WITH {_LG} SELECT line_no, worker FROM wk",
     "crawl_totals": f"WITH {_LG} SELECT count(DISTINCT started) AS visited_urls, count(DISTINCT saved_file) AS saved_files, count(DISTINCT failed) AS failed_urls, (SELECT visited FROM lg WHERE total IS NOT NULL ORDER BY total DESC, line_no LIMIT 1) AS visited, max(total) AS total FROM lg",
@@ -165,3 +208,9 @@ SELECT file, 'not in the log' AS "where" FROM fl WHERE file NOT IN (SELECT file
     "error_taxonomy": f"WITH {_ER} SELECT error, n, n_urls FROM er",
     "error_summary": f"WITH {_ER} SELECT row_number() OVER (ORDER BY n DESC, error) AS rank, rpad(substr(error, 1, 40), 40, ' ') || ' | ' || lpad(n::VARCHAR, 6, ' ') || ' | ' || lpad(n_urls::VARCHAR, 6, ' ') AS line FROM er",
 }
+
+# what the stream stores: of the events that the time-to-live filter lets through and that name a reason, kind and name, the latest of each id
+_HEARD = SQL["ttl_dedup"].removeprefix(f"WITH RECURSIVE {_EV}, ").replace("\nSELECT no AS event_no FROM f WHERE go", ",\nheard AS (SELECT no FROM f WHERE go)")
+STORED = f"""WITH RECURSIVE {_AN}, {_HEARD}
+SELECT te.pk, te.at_ AS timestamp, md5(specific_text) AS text_md5, coalesce(an.anchor_pk, '') AS parent_id, len(specific_text) AS token_count FROM (SELECT * FROM te WHERE event_no IN (SELECT no FROM heard) AND reason IS NOT NULL AND obj_kind IS NOT NULL AND name IS NOT NULL) te
+LEFT JOIN an ON an.abstract_text = te.abstract_text QUALIFY row_number() OVER (PARTITION BY te.pk ORDER BY te.at_ DESC, specific_text DESC) = 1"""

@@ -51,11 +51,21 @@ def store_cycle(spark, d):
     return s.read().select("pk", "delivery_no", "partition_name")
 
 
-def sparse_index(spark, d):
-    """The inverted index written in buckets of terms, counted by term."""
+def _index(spark, d):
     s = store.NodeStore(spark, scratch(spark, "nodes"), "delivery_no")
     s.append(_nodes(spark, d).select("delivery_no", "sparse_vector"), ids.STATIC_PARTITION)
-    return s.index("sparse_vector").groupBy("term").agg(F.count("*").alias("n"))
+    return s.index("sparse_vector", 0.2)
+
+
+def sparse_index(spark, d):
+    """The written index without the lightest fifth of each row's terms, counted by term."""
+    return _index(spark, d).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def sparse_index_topk(spark, d):
+    """Search over the written index for every delivery divisible by 20."""
+    asked = _nodes(spark, d).filter("delivery_no % 20 = 0").select(F.col("delivery_no").alias("query_id"), "sparse_vector")
+    return store.search_index(asked, _index(spark, d), "delivery_no", "sparse_vector", 10)
 
 
 def stream_ttl_dedup(spark, d):
@@ -65,14 +75,15 @@ def stream_ttl_dedup(spark, d):
     out = scratch(spark, "kept")
     q = event_stream.suppress_repeats(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("event_no long, at long").parquet(out).select("event_no")
+    return spark.read.schema("event_no long").parquet(out)
 
 
 def stream_event_store(spark, d):
-    """Events stored by the stream: one row for each id, the latest."""
+    """Events through the whole stream: repeats suppressed, textified, anchored and stored; one row for each id, the latest."""
     source = stash(event_queries._clean(spark, d).withColumn("timestamp_str", F.col("at").cast("string")), "events")
     s = store.NodeStore(spark, scratch(spark, "nodes"))
-    q = event_stream.textify_and_store(event_stream.watch(spark, source._docloom_path, source.schema), s, stash(event_queries._static(spark, d), "static"), scratch(spark, "offsets"), scratch(spark, "dead"))
+    heard = event_stream.suppress_repeats(event_stream.watch(spark, source._docloom_path, source.schema))
+    q = event_stream.textify_and_store(heard, s, stash(event_queries._static(spark, d), "static"), scratch(spark, "offsets"), scratch(spark, "dead"))
     q.awaitTermination()
     return s.read().select("pk", "timestamp", F.md5("text").alias("text_md5"), "parent_id", "token_count")
 
@@ -119,9 +130,11 @@ def format_reflections(spark, d):
     return m.select("conv_id", F.md5(M.reflections(F.transform("messages", lambda x: x["text"]))).alias("md5"))
 
 
-_ALL = (filtered_scan, limited_scan, batch_fetch, partition_scan, store_cycle, sparse_index, stream_ttl_dedup, stream_event_store, retrieval, build_nodes, last_four_messages, last_assistant_message, inject_system_context, format_reflections)
+_ALL = (filtered_scan, limited_scan, batch_fetch, partition_scan, store_cycle, sparse_index, sparse_index_topk, stream_ttl_dedup, stream_event_store, retrieval, build_nodes, last_four_messages, last_assistant_message, inject_system_context, format_reflections)
 QUERIES = {f.__name__: f for f in _ALL}
 
+_INDEX = """ix AS (SELECT * FROM (SELECT delivery_no, unnest(map_keys(sparse_vector)) AS term, unnest(map_values(sparse_vector)) AS w FROM knowledge_base_v3)
+  QUALIFY row_number() OVER (PARTITION BY delivery_no ORDER BY w DESC, term) <= ceil(count(*) OVER (PARTITION BY delivery_no) * 0.8))"""
 _ROUTE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk)"
 
 
@@ -166,9 +179,11 @@ SQL = {
     "batch_fetch": f"WITH {_KEPT} SELECT id AS pk, delivery_no FROM kept WHERE id IN (SELECT l FROM kept WHERE l IS NOT NULL)",
     "partition_scan": "SELECT delivery_no FROM knowledge_base_v3 WHERE partition_name = 'dynamic_events'",
     "store_cycle": f"WITH {_BASE}, g AS (SELECT CASE WHEN coalesce(h, '') = '' THEN NULL ELSE concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) END AS pk FROM (SELECT translate(regexp_replace(lower(trim(pk, ' ' || chr(9) || chr(10) || chr(13))), '^urn:uuid:', ''), '{{}}-', '') AS h FROM node_deletions)) SELECT node AS pk, max(delivery_no) AS delivery_no, partition_name FROM ided WHERE node IS NOT NULL AND node NOT IN (SELECT pk FROM g WHERE pk IS NOT NULL) GROUP BY node, partition_name",
-    "sparse_index": "SELECT unnest(map_keys(sparse_vector)) AS term, count(*) AS n FROM knowledge_base_v3 GROUP BY 1",
+    "sparse_index": f"WITH {_INDEX} SELECT term, count(*) AS n FROM ix GROUP BY term",
+    "sparse_index_topk": f"""WITH {_INDEX}, q AS (SELECT delivery_no AS query_id, unnest(map_keys(sparse_vector)) AS term, unnest(map_values(sparse_vector)) AS qw FROM knowledge_base_v3 WHERE delivery_no % 20 = 0)
+SELECT query_id, delivery_no, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, delivery_no) AS rank FROM (SELECT query_id, delivery_no, round(sum(qw * w), 8) AS score FROM q JOIN ix USING (term) GROUP BY ALL) QUALIFY rank <= 10""",
     "stream_ttl_dedup": event_queries.SQL["ttl_dedup"],
-    "stream_event_store": event_queries.SQL["event_upsert_latest"].replace("FROM te LEFT JOIN an", "FROM (SELECT * FROM te WHERE reason IS NOT NULL AND obj_kind IS NOT NULL AND name IS NOT NULL) te LEFT JOIN an").replace("te.at_ DESC, md5(specific_text) DESC", "te.at_ DESC, specific_text DESC"),
+    "stream_event_store": event_queries.STORED,
     "last_four_messages": f"WITH {_TURN} SELECT conv_id, string_agg(turn::VARCHAR, ' ' ORDER BY turn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t) WHERE r <= 4 GROUP BY conv_id",
     "last_assistant_message": f"WITH {_TURN} SELECT conv_id, arg_max(text, turn) AS text FROM t WHERE role = 'assistant' GROUP BY conv_id",
     "inject_system_context": f"WITH {_TURN} SELECT conv_id, count(*) + CASE WHEN bool_or(role = 'system' AND contains(text, 'probe')) THEN 0 ELSE 1 END AS n FROM t GROUP BY conv_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.functions import ids, text as T
+from docloom.plans.core_problems import _BASE
 from docloom.session import table
 
 
@@ -38,11 +39,15 @@ def exit_hlinks(spark, d):
 
 
 def merged_outlinks(spark, d):
-    """Outlinks of all documents of one language merged pairwise: a document with the one of the next id."""
-    _, links = T.exit_links("text")
-    rows = _docs(spark, d).filter(F.col("text").contains("[ANCHOR:")).select("doc_id", links.alias("links"))
-    nxt = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("links").alias("other"))
-    return rows.join(nxt, "doc_id").select("doc_id", F.explode(T.merged_links("links", "other")).alias("anchor", "urls")).select("doc_id", "anchor", F.array_join("urls", " ").alias("urls"))
+    """Outlinks of every node merged with those of its parent, where that is there."""
+    from docloom.plans.retrieval_queries import _kept_once
+
+    first = F.transform(F.filter(F.coalesce("related_links", F.array().cast("array<struct<text:string,url:string,pk:string,type:string>>")), lambda x: F.coalesce(x["text"], F.lit("")) != ""), lambda x: F.struct(x["text"].alias("n"), F.coalesce(x["url"], F.lit("")).alias("u")))
+    names = F.array_distinct(F.transform("l", lambda x: x["n"]))
+    links = F.map_from_arrays(names, F.transform(names, lambda n: F.array_distinct(F.transform(F.filter("l", lambda x: x["n"] == n), lambda x: x["u"]))))
+    rows = _kept_once(spark, d).select("pk", ids.canonical_id(F.col("parent_id")).alias("parent"), first.alias("l")).select("pk", "parent", links.alias("links"))
+    up = rows.select(F.col("pk").alias("parent"), F.col("links").alias("other"))
+    return rows.join(up, "parent").select("pk", F.explode(T.merged_links("links", "other")).alias("anchor", "urls")).select("pk", "anchor", F.array_join("urls", " ").alias("urls"))
 
 
 def node_labels(spark, d):
@@ -143,11 +148,10 @@ def sibling_label_lines(spark, d):
 
 
 def stored_limits(spark, d):
-    """Rows that exceed a limit of the stored schema: text and navigation 65,535 bytes, title and source 1,024, lists 256 and 200."""
-    over = lambda c, n: F.coalesce(F.octet_length(c) > n, F.lit(False))
-    long = lambda c, n: F.coalesce(F.size(c) > n, F.lit(False))
-    bad = F.array_compact(F.array(*(F.when(over(c, n), c) for c, n in (("pk", 256), ("text", 65535), ("title", 1024), ("source", 1024))), F.when(long("child_ids", 256), "child_ids"), F.when(long("entry_urls", 200), "entry_urls")))
-    return _nodes(spark, d).select("delivery_no", F.array_join(bad, ",").alias("over")).filter("over <> ''")
+    """Fields that exceed a limit, with limits an eighth of the stored schema's (65,535 bytes of text, 1,024 of title, 256 children)."""
+    rows = _nodes(spark, d)
+    over = T.over_limits(rows.schema, {"pk": 256, "text": 8_191, "title": 128, "source": 128, "child_ids": 32, "entry_urls": 25})
+    return rows.select("delivery_no", F.array_join(over, ",").alias("over")).filter("over <> ''")
 
 
 _ALL = (text_blocks, text_blocks_restored, entry_hlinks, exit_hlinks, merged_outlinks, node_labels, token_counts, length_bands, node_ids, valid_ids, markdown_fixes, regex_replace_lines, regex_insert_title, match_positions, match_statistics, content_report, residual_markers, two_of_three, navigation_roots, root_titles, metadata_codec, sibling_label_lines, stored_limits)
@@ -173,10 +177,11 @@ SQL = {
     "text_blocks_restored": "SELECT doc_id, text AS restored FROM documents WHERE text IS NOT NULL",
     "entry_hlinks": rf"SELECT doc_id, md5({_strip(chr(114) + 'egexp_replace(text, ' + chr(39) + r'\[HLINK:\s*(.*?)\]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS clean_md5, array_to_string(regexp_extract_all(text, '\[HLINK:\s*(.*?)\]', 1), ' ') AS urls FROM documents WHERE contains(text, '[HLINK:')",
     "exit_hlinks": f"WITH {_OUT} SELECT doc_id, anchor, urls FROM grouped",
-    "merged_outlinks": f"""WITH {_OUT},
-ids AS (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE contains(a.text, '[ANCHOR:') AND contains(b.text, '[ANCHOR:')),
-both_ AS (SELECT i.doc_id, o.anchor, o.url, o.k FROM ids i JOIN outlinks o ON o.doc_id = i.doc_id UNION ALL SELECT i.doc_id, o.anchor, o.url, 100000 + o.k FROM ids i JOIN outlinks o ON o.doc_id = i.doc_id + 1)
-SELECT doc_id, anchor, string_agg(url, ' ' ORDER BY k) AS urls FROM (SELECT doc_id, anchor, url, min(k) AS k FROM both_ GROUP BY ALL) GROUP BY ALL""",
+    "merged_outlinks": f"""WITH {_BASE}, kept AS (SELECT * FROM ided WHERE node IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY delivery_no) = 1),
+l AS (SELECT node, x.text AS anchor, coalesce(x.url, '') AS url, k FROM (SELECT node, unnest(related_links, recursive := false) AS x, generate_subscripts(related_links, 1) AS k FROM kept) WHERE coalesce(x.text, '') <> ''),
+p AS (SELECT c.node, c.parent FROM kept c WHERE c.parent IN (SELECT node FROM kept)),
+both_ AS (SELECT p.node, anchor, url, k FROM p JOIN l ON l.node = p.node UNION ALL SELECT p.node, anchor, url, 100000 + k FROM p JOIN l ON l.node = p.parent)
+SELECT node AS pk, anchor, string_agg(url, ' ' ORDER BY k) AS urls FROM (SELECT node, anchor, url, min(k) AS k FROM both_ GROUP BY ALL) GROUP BY ALL""",
     "node_labels": f"""SELECT delivery_no, title || chr(10) || CASE WHEN len(f) > 30 THEN left(f, 10) || '...' || right(f, 10) ELSE f END || chr(10) || '[' || lower(node_type) || '][L' || level::VARCHAR || ']' AS label
 FROM (SELECT *, replace(replace({_strip('text')}, chr(10), ' '), '"', '''') AS f FROM knowledge_base_v3)""",
     "token_counts": r"SELECT doc_id, len(regexp_extract_all(text, '[一-鿿]|[A-Za-z0-9_]+|[^ \t\r\nA-Za-z0-9_一-鿿]')) AS n_tokens FROM documents WHERE text IS NOT NULL",
@@ -199,5 +204,5 @@ SELECT field, pattern, count(*) AS n, string_agg(delivery_no::VARCHAR, ' ' ORDER
     "root_titles": r"SELECT delivery_no, title, regexp_replace(regexp_extract(source, '([^/\\]+)$', 1), '\.md$', '') AS file FROM knowledge_base_v3 WHERE lower(node_type) = 'root' AND title <> regexp_replace(regexp_extract(source, '([^/\\]+)$', 1), '\.md$', '')",
     "metadata_codec": "SELECT delivery_no, CASE WHEN lower(node_type) IN ('dynamic_event', 'root', 'section', 'container', 'leaf') THEN lower(node_type) ELSE 'leaf' END AS node_type, coalesce(len(child_ids), 0) AS n_children, coalesce(len(entry_urls), 0) AS n_urls FROM knowledge_base_v3",
     "sibling_label_lines": "SELECT delivery_no, CASE WHEN coalesce(len(entry_urls), 0) = 0 THEN 'None' ELSE array_to_string(list_transform(entry_urls, lambda x, i: i::VARCHAR || '. ' || x), chr(10)) END AS lines FROM knowledge_base_v3",
-    "stored_limits": """SELECT * FROM (SELECT delivery_no, array_to_string(list_filter([CASE WHEN strlen(pk) > 256 THEN 'pk' END, CASE WHEN strlen(text) > 65535 THEN 'text' END, CASE WHEN strlen(title) > 1024 THEN 'title' END, CASE WHEN strlen(source) > 1024 THEN 'source' END, CASE WHEN len(child_ids) > 256 THEN 'child_ids' END, CASE WHEN len(entry_urls) > 200 THEN 'entry_urls' END], lambda x: x IS NOT NULL), ',') AS over FROM knowledge_base_v3) WHERE over <> ''""",
+    "stored_limits": """SELECT * FROM (SELECT delivery_no, array_to_string(list_filter([CASE WHEN strlen(pk) > 256 THEN 'pk' END, CASE WHEN strlen(text) > 8191 THEN 'text' END, CASE WHEN strlen(title) > 128 THEN 'title' END, CASE WHEN strlen(source) > 128 THEN 'source' END, CASE WHEN len(child_ids) > 32 THEN 'child_ids' END, CASE WHEN len(entry_urls) > 25 THEN 'entry_urls' END], lambda x: x IS NOT NULL), ',') AS over FROM knowledge_base_v3) WHERE over <> ''""",
 }

@@ -1,103 +1,176 @@
-"""The node table on disk: Parquet, partitioned by ``partition_name``, in generations.
+"""The node table on disk: Parquet by ``partition_name`` and hash bucket of the key, in generations.
 
-Each change writes the partitions it touches into a new generation and then swaps a small pointer file, so that readers see
-the old state or the new one and a lost executor leaves nothing half written.
+A change writes only the buckets it touches into a new generation; then a new numbered pointer file is put in place by one
+rename, and readers take the pointer with the highest number. They see the old state or the new one, a crash in between
+leaves the old, and two writers at once can't both win. Generations that none of the last ``KEEP`` pointers names are removed.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.operators.events import latest
-from docloom.operators.retrieval import postings
+from docloom.operators.topk import sparse_topk
+
+#: Pointers that stay readable, the newest included: plans made before a change can still run.
+KEEP = 3
 
 
 class NodeStore:
-    """Nodes under ``root``: the pointer file names the folder of each partition."""
+    """Nodes under ``root``; a pointer names the folders of each partition's buckets (bucket "" for all: appended rows)."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "pk", buckets: int = 32):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "pk"):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> dict[str, list[str]]:
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer.json")
-        if not fs.exists(path):
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[int]:
+        fs = self._fs()
+        if not fs.exists(self._path("pointers")):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(self._path("pointers"))]
+        return sorted(int(m[1]) for m in (re.fullmatch(r"(\d+)\.json", n) for n in names) if m)
+
+    def _pointer(self, number: int | None = None) -> dict[str, dict[str, list[str]]]:
+        have = self._pointers()
+        if not have:
             return {}
-        with_ = fs.open(path)
+        stream = self._fs().open(self._path(f"pointers/{have[-1] if number is None else number}.json"))
         try:
-            return json.loads(bytes(with_.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
-            with_.close()
+            stream.close()
 
-    def _swap(self, pointer: dict[str, list[str]]) -> None:
-        jvm, fs = self._fs()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer-{uuid.uuid4().hex}.json")
+    def _swap(self, pointer: dict[str, dict[str, list[str]]], before: int | None) -> None:
+        """Publish a state made from pointer ``before``; fails if another writer was first."""
+        fs = self._fs()
+        new, target = self._path(f"pointers/new-{uuid.uuid4().hex}"), self._path(f"pointers/{(before or 0) + 1}.json")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer.json")
-        fs.delete(target, False)
-        fs.rename(new, target)
-
-    def _write(self, rows: DataFrame, partition: str) -> str:
-        folder = f"{self.root}/{partition}/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        return folder
+        if fs.exists(target) or not fs.rename(new, target):
+            fs.delete(new, False)
+            raise RuntimeError("another writer changed the store")
+        self._clean()
+
+    def _clean(self) -> None:
+        have = self._pointers()
+        kept, gone = have[-KEEP:], have[:-KEEP]
+        folders = lambda numbers: {f for n in numbers for p in self._pointer(n).values() for fs in p.values() for f in fs}
+        old, new = folders(gone), folders(kept)
+        whole = {f.rsplit("/", 1)[0] for f in old} - {f.rsplit("/", 1)[0] for f in new}
+        for folder in whole | {f for f in old - new if f.rsplit("/", 1)[0] not in whole}:
+            self._fs().delete(self._path(folder), True)
+        for n in gone:
+            self._fs().delete(self._path(f"pointers/{n}.json"), False)
+
+    def _last(self) -> tuple[int | None, dict[str, dict[str, list[str]]]]:
+        have = self._pointers()
+        return (have[-1], self._pointer(have[-1])) if have else (None, {})
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, partition: str) -> dict[str, list[str]]:
+        """Rows written by bucket: the folders of the buckets that hold any."""
+        folder = f"{partition}/{uuid.uuid4().hex}"
+        rows.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        names = [s.getPath().getName() for s in self._fs().listStatus(self._path(folder)) if s.isDirectory()]
+        return {n.removeprefix("bucket="): [f"{folder}/{n}"] for n in names if n.startswith("bucket=")}
 
     def recreate(self) -> None:
         """Drop the table and start an empty one."""
-        self._swap({})
+        self._swap({}, self._last()[0])
 
     def append(self, rows: DataFrame, partition: str) -> None:
         """Add rows to a partition. A failure fails the job: no batch is lost silently."""
-        pointer = self._pointer()
-        pointer.setdefault(partition, []).append(self._write(rows, partition))
-        self._swap(pointer)
+        number, pointer = self._last()
+        own = pointer.setdefault(partition, {})
+        for bucket, folders in self._write(rows, partition).items():
+            own.setdefault(bucket, []).extend(folders)
+        self._swap(pointer, number)
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.root}/{f}" for f in folders))
 
     def read(self, *partitions: str) -> DataFrame:
         """The rows of the named partitions (all without names), with ``partition_name``; only their folders are read."""
-        pointer = self._pointer()
-        parts = [(p, f) for p, folders in pointer.items() if not partitions or p in partitions for f in folders]
-        if not parts:
-            raise ValueError("the store has no rows there")
         out = None
-        for p in dict.fromkeys(p for p, _ in parts):
-            rows = self.spark.read.option("mergeSchema", True).parquet(*[f for q, f in parts if q == p]).withColumn("partition_name", F.lit(p))
+        for p, own in self._pointer().items():
+            folders = [f for fs in own.values() for f in fs]
+            if not folders or partitions and p not in partitions:
+                continue
+            rows = self._rows(folders).withColumn("partition_name", F.lit(p))
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        if out is None:
+            raise ValueError("the store has no rows there")
         return out
 
+    def load(self, *partitions: str) -> DataFrame:
+        """The rows kept in the executors' memory, as far as they fit, for repeated searches; ``unpersist`` releases them."""
+        return self.read(*partitions).persist(StorageLevel.MEMORY_AND_DISK)
+
     def upsert(self, rows: DataFrame, partition: str, *order: str) -> None:
-        """Put rows in place of those with the same key; of several new rows of a key the last by ``order`` counts."""
-        fresh = latest(rows, self.key, *order)
-        pointer = self._pointer()
-        if pointer.get(partition):
-            old = self.read(partition).drop("partition_name")
-            fresh = old.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        pointer[partition] = [self._write(fresh, partition)]
-        self._swap(pointer)
+        """Put rows in place of those with the same key; of several new rows of a key the last by ``order`` counts.
+
+        Only the buckets of the new keys are read and written again.
+        """
+        number, pointer = self._last()
+        own = pointer.setdefault(partition, {})
+        fresh = self._write(latest(rows, self.key, *order), partition)
+        old = [f for b in fresh for f in own.get(b, [])]
+        if old:
+            new = self._rows([f for fs in fresh.values() for f in fs])
+            kept = self._rows(old).join(new.select(self.key), self.key, "left_anti")
+            written = self._write(kept.unionByName(new, allowMissingColumns=True), partition)
+            for fs in fresh.values():
+                self._fs().delete(self._path(fs[0]).getParent(), True)
+            fresh = written
+        own.update(fresh)
+        self._swap(pointer, number)
 
     def delete(self, keys: DataFrame, *partitions: str) -> None:
-        """Take out the rows with the keys of ``keys``; unknown ones make no difference."""
-        pointer = self._pointer()
+        """Take out the rows with the keys of ``keys``; unknown ones make no difference. Untouched buckets stay as they are."""
+        number, pointer = self._last()
+        wanted = keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
+        touched = [str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()]  # at most the number of buckets
         for p in partitions or list(pointer):
-            kept = self.read(p).drop("partition_name").join(keys.select(self.key).distinct(), self.key, "left_anti")
-            pointer[p] = [self._write(kept, p)]
-        self._swap(pointer)
-
-    def index(self, sparse: str, buckets: int = 64) -> DataFrame:
-        """The inverted index of a map column, written in buckets of terms, so that searches join it without moving it."""
-        name = f"docloom_index_{uuid.uuid4().hex}"
-        rows = postings(self.read(), self.key, sparse)
-        rows.repartition(buckets, "term").write.format("parquet").option("path", f"{self.root}/index/{name}").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
-        return self.spark.table(name)
+            own = pointer.get(p, {})
+            old = [f for b in touched for f in own.get(b, [])]
+            if not old:
+                continue
+            written = self._write(self._rows(old).join(wanted, self.key, "left_anti"), p)
+            for b in touched:
+                own.pop(b, None)
+            own.update(written)
+        self._swap(pointer, number)
+
+    def index(self, sparse: str, drop_ratio: float = 0.0) -> DataFrame:
+        """The search index of a map column, written: (key, terms, weights), heaviest first.
+
+        ``drop_ratio`` leaves out that share of a row's terms, lowest weights first. ``search_index`` reads it.
+        """
+        path = f"{self.root}/index/{uuid.uuid4().hex}"
+        heaviest = F.array_sort(F.transform(F.map_entries(sparse), lambda x: F.struct((-x["value"]).alias("w"), x["key"].alias("term"))))
+        rows = self.read().filter(F.size(sparse) > 0).select(self.key, heaviest.alias("e"))
+        kept = rows.select(self.key, F.slice("e", F.lit(1), F.ceil(F.size("e") * F.lit(1 - drop_ratio)).cast("int")).alias("e"))
+        kept.select(self.key, F.col("e.term").alias("terms"), F.transform("e", lambda x: -x["w"]).alias("weights")).write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def search_index(queries: DataFrame, index: DataFrame, key: str, sparse: str, k: int) -> DataFrame:
+    """(query_id, key, score, rank) of ``queries(query_id, sparse)`` over a written index."""
+    asked = queries.filter(F.size(sparse) > 0).select("query_id", F.map_keys(sparse).alias("terms"), F.map_values(sparse).alias("weights"))
+    return sparse_topk(asked, index, key, k)
 
 
 def write_markdown(docs: DataFrame, path: str) -> None:

@@ -21,7 +21,7 @@ def watch(spark: SparkSession, path: str, schema: str, files_per_batch: int = 10
 
 
 def suppress_repeats(events: DataFrame, ttl: int = E.TTL, lateness: str | None = None) -> DataFrame:
-    """Stream version of the time-to-live filter, on the events' own clock ``at`` (seconds), so that it can be replayed.
+    """The events that the time-to-live filter lets through, on their own clock ``at`` (seconds), so that it can be replayed.
 
     State is one number for each key. With ``lateness`` (an interval) a watermark on ``at`` drops events that come later
     than that and removes the state of silent keys; without, all events are heard and the state stays. Within a batch a
@@ -32,7 +32,8 @@ def suppress_repeats(events: DataFrame, ttl: int = E.TTL, lateness: str | None =
     timeout = GroupStateTimeout.NoTimeout
     if lateness:
         rows, timeout = rows.withWatermark("ts", lateness), GroupStateTimeout.EventTimeTimeout
-    keyed = rows.select("event_no", "ts", F.col("at").cast("long").alias("at"), *(F.coalesce(F.col(c), F.lit("\x00")).alias(c) for c in KEYS[:-1]), F.coalesce(F.substring("message", 1, E.KEY_CHARS), F.lit("\x00")).alias("head"))
+    keyed = rows.withColumns({f"__{c}": F.coalesce(F.col(c), F.lit("\x00")) for c in KEYS[:-1]} | {"__head": F.coalesce(F.substring("message", 1, E.KEY_CHARS), F.lit("\x00"))})
+    schema = events.schema
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,17 +41,17 @@ def suppress_repeats(events: DataFrame, ttl: int = E.TTL, lateness: str | None =
             return
         last = state.get[0] if state.exists else None
         got, kept = pd.concat(frames).sort_values(["at", "event_no"]), []
-        for number, at in zip(got["event_no"], got["at"]):
+        for row, at in enumerate(got["at"]):
             if last is None or abs(at - last) >= ttl:
-                kept.append((number, at))
+                kept.append(row)
                 last = at if last is None else max(last, at)
         if last is not None:
             state.update((int(last),))
             if lateness:
                 state.setTimeoutTimestamp(max(int(last) + ttl, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
-        yield pd.DataFrame(kept, columns=["event_no", "at"])
+        yield got.iloc[kept][schema.names]
 
-    return keyed.groupBy(*KEYS).applyInPandasWithState(step, "event_no long, at long", "last long", "append", timeout)
+    return keyed.groupBy(*(f"__{c}" for c in KEYS)).applyInPandasWithState(step, schema, "last long", "append", timeout)
 
 
 def textify_and_store(events: DataFrame, store: NodeStore, static: DataFrame, checkpoint: str, dead: str | None = None, available_now: bool = True) -> StreamingQuery:

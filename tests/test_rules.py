@@ -160,6 +160,32 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted(r.event_no for r in spark.read.parquet(out).collect()) == [1, 4]
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """A stored stream that fails in the middle of a batch goes on from its checkpoint: nothing is lost or stored twice."""
+    kind = "event_no long, at long, namespace string, obj_kind string, name string, reason string, message string, timestamp_str string"
+    rows = lambda *ts: spark.createDataFrame([(i, t, "n", "Pod", f"x{i % 2}", "Failed", "token lost", str(t)) for i, t in ts], kind)
+    static = spark.createDataFrame([("s1", "T", "token lost and found"), ("s2", "U", "nothing here")], "pk string, title string, text string")
+    src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
+    s = store.NodeStore(spark, f"file://{tmp_path}/nodes")
+
+    def run(target):
+        stream = event_stream.suppress_repeats(event_stream.watch(spark, src, rows((1, 1)).schema))
+        event_stream.textify_and_store(stream, target, static, ck).awaitTermination(180)
+
+    class Broken(store.NodeStore):
+        def upsert(self, *args):
+            raise OSError("disk full")
+
+    rows((1, 100), (2, 101), (3, 130)).write.mode("append").parquet(src)
+    run(s)
+    rows((5, 170), (6, 400)).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="disk full"):
+        run(Broken(spark, s.root))
+    run(s)
+    got = {r.title: (r.timestamp, r.parent_id) for r in s.read().collect()}
+    assert got == {"Alert: Pod x1 - Failed": (170, "s1"), "Alert: Pod x0 - Failed": (400, "s1")}
+
+
 def test_store(spark, tmp_path):
     s = store.NodeStore(spark, f"file://{tmp_path}/nodes")
     s.recreate()
@@ -172,6 +198,34 @@ def test_store(spark, tmp_path):
     assert sorted(r.pk for r in s.read("p").collect()) == ["b"]
 
 
+def test_store_touches_only_its_buckets(spark, tmp_path):
+    """An upsert leaves other buckets' files as they are, old generations go, a second writer fails, a lost pointer isn't needed."""
+    s = store.NodeStore(spark, f"file://{tmp_path}/nodes", buckets=8)
+    s.upsert(spark.range(200).selectExpr("cast(id as string) pk", "id ts"), "p", "ts")
+    before = s._pointer()["p"]
+    s.upsert(spark.createDataFrame([("7", 1000)], "pk string, ts long"), "p", "ts")
+    after = s._pointer()["p"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert s.read("p").count() == 200 and s.read("p").filter("ts = 1000").count() == 1
+    other = store.NodeStore(spark, s.root, buckets=8)
+    number, pointer = other._last()
+    s.append(spark.createDataFrame([("x", 1)], "pk string, ts long"), "q")
+    with pytest.raises(RuntimeError):
+        other._swap(pointer, number)
+    for i in range(5):
+        s.upsert(spark.createDataFrame([("7", 2000 + i)], "pk string, ts long"), "p", "ts")
+    assert len(s._pointers()) == store.KEEP and len(list((tmp_path / "nodes" / "p").iterdir())) <= store.KEEP + 1
+    assert s.load("p").filter("ts = 2004").count() == 1
+
+
+def test_search_index(spark, tmp_path):
+    s = store.NodeStore(spark, f"file://{tmp_path}/nodes")
+    s.append(spark.createDataFrame([("a", {1: 0.9, 2: 0.1}), ("b", {2: 0.5}), ("c", {}), ("d", None)], "pk string, m map<int,double>"), "p")
+    q = spark.createDataFrame([(1, {2: 1.0})], "query_id long, m map<int,double>")
+    hits = lambda ratio: [(r.pk, r.score) for r in store.search_index(q, s.index("m", ratio), "pk", "m", 5).orderBy("rank").collect()]
+    assert hits(0.0) == [("b", 0.5), ("a", 0.1)] and hits(0.5) == [("b", 0.5)]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a b.md").write_text("1\n2\n3\n4\n5\n6")
     (tmp_path / "c.txt").write_text("no")
@@ -213,6 +267,35 @@ def test_graph(spark):
     assert {(r.url, r.depth) for r in graph.frontier(links, starts).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_equal_names_build_one_row_each(spark):
+    """Two documents of one name: a pk has one row, the last source's; encoders and the token counter can be replaced."""
+    from docloom.plans import pipeline
+
+    head = "h\nh\nh\nh\n"
+    docs = spark.createDataFrame([("s1", "D", head + "a a b"), ("s2", "D", head + "a c [ANCHOR: t, HLINK: u#x]"), ("s3", "E", head.replace("h", "[HLINK: u]", 1) + "# A\nx\n# A\nx"), ("s4", "E2", None)], "source string, name string, text string")
+    rows = pipeline.build_nodes(docs).collect()
+    assert len({r.pk for r in rows}) == len(rows)
+    d = next(r for r in rows if r.title == "D")
+    assert d.source == "s2" and abs(sum(d.sparse_vector.values()) - 1) < 1e-9
+    e = next(r for r in rows if r.title == "E")
+    assert [(x.text, x.url, x.pk, x.type) for x in d.related_links] == [("t", "u#x", e.pk, "internal")]
+    own = pipeline.Encoders(lambda c: F.array(F.length(c).cast("double")), lambda c: F.create_map(F.lit(1), F.length(c).cast("double")), len)
+    d = next(r for r in pipeline.build_nodes(docs, encoders=own).collect() if r.title == "D")
+    assert d.vector == [float(len(d.text))] and d.title_sparse == {1: 1.0} and d.token_count == len(d.text)
+
+
+def test_dynamic_track_by_operation(spark):
+    from docloom.plans import pipeline
+
+    nodes = spark.createDataFrame(
+        [("a", "static_knowledge", "A", "pod fails", [1.0, 0.0], {1: 1.0}, None, "leaf"), ("e", "dynamic_events", "E", "pod fails now", [1.0, 0.1], {1: 1.0}, [("g", "", "a", "static_anchor")], "dynamic_event")],
+        "pk string, partition_name string, title string, text string, vector array<double>, sparse_vector map<int,double>, related_links array<struct<text:string,url:string,pk:string,type:string>>, node_type string")
+    nodes = nodes.withColumns({"summary_vector": F.col("vector"), "title_sparse": F.col("sparse_vector"), "left_sibling": F.lit(""), "right_sibling": F.lit("")})
+    q = spark.createDataFrame([(1, "pod", "diagnose", [1.0, 0.0], {1: 1.0}), (2, "pod", "explain", [1.0, 0.0], {1: 1.0})], "query_id long, text string, operation string, vector array<double>, sparse_vector map<int,double>")
+    got = {(r.query_id, r.pk, r.source_type) for r in pipeline.retrieve(q, nodes, frozenset(["diagnose"])).collect()}
+    assert got == {(1, "e", "dynamic_event"), (1, "a", "anchor"), (2, "a", "anchor")}
+
+
 def test_messages(spark):
     t = spark.createDataFrame([("c", i, r, f"m{i}") for i, r in enumerate(["system", "user", "assistant", "user", "assistant"])], "conv_id string, turn long, role string, text string")
     assert [m.turn for m in M.gather(t, last=2).first().messages] == [3, 4]
