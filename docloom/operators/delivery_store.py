@@ -1,38 +1,60 @@
 """At-least-once deliveries to exactly one row for each identifier.
 
-The store is a bucketed, sorted table: rows are hashed by identifier into a fixed number of buckets and each upsert adds one
-sorted run to every bucket. Before the shuffle each task keeps the best row of an identifier it holds, so an identifier
-delivered in a third of all rows costs one row a task. Compaction reads the runs bucket by bucket, without a shuffle,
-and merges them so that equal identifiers collapse to the earliest delivery. Upserting a batch again changes nothing
-after compaction (idempotent).
+The store is hash-bucketed and sorted: every upsert writes one run, a bucketed table with one sorted file for each bucket.
+Before the shuffle each task keeps the best row of an identifier it holds, so an identifier delivered in a third of all rows
+costs one row a task. Compaction merges sorted runs, two at a time and the smallest first: a full sort-merge join of equal
+buckets, which needs neither a shuffle nor a sort of its inputs, lets equal identifiers collapse to the earliest delivery.
+Upserting a batch again changes nothing after compaction (idempotent). The number of buckets follows the number of rows and
+is doubled by a compaction that finds the buckets too full.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.functions.ids import node_id
 from docloom.session import remove, scratch
 
+#: Rows of one bucket, about; a compaction that finds more than twice as many doubles the buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 250_000, 8
+
+
+@dataclass
+class Run:
+    table: str
+    path: str
+    rows: int
+
+
+def buckets_for(rows: int) -> int:
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+
 
 class DeliveryStore:
-    """Hash-bucketed sorted storage of one row for each key in the shared folder.
+    """Hash-bucketed sorted runs of one row for each key in the shared folder.
 
     ``order`` (a long column, unique) decides which of several rows of a key stays: the lowest. Rows with a null key
     are kept out by ``upsert``; the caller decides about them. Extra columns may have any name.
     """
 
-    def __init__(self, spark: SparkSession, key: str, order: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, key: str, order: str, buckets: int = LEAST_BUCKETS):
         self.spark, self.key, self.order, self.buckets = spark, key, order, buckets
-        self.path: str | None = None
-        self.name: str | None = None
-        self.runs = 0
+        self.runs: list[Run] = []
+
+    def _write(self, rows: DataFrame) -> Run:
+        run = Run(f"docloom_run_{uuid.uuid4().hex}", scratch(self.spark, "run"), 0)
+        rows.write.format("parquet").option("path", run.path).bucketBy(self.buckets, self.key).sortBy(self.key).saveAsTable(run.table)
+        run.rows = self.spark.table(run.table).count()  # from the files' footers
+        return run
 
-    def _write(self, rows: DataFrame, name: str, path: str, mode: str) -> None:
-        (rows.write.format("parquet").mode(mode).option("path", path)
-         .bucketBy(self.buckets, self.key).sortBy(self.key).saveAsTable(name))
+    def _drop(self, run: Run, files: bool = True) -> None:
+        self.spark.sql(f"DROP TABLE {run.table}")
+        if files:
+            remove(self.spark, run.path)
 
     def _best(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in (self.key, self.order)]
@@ -43,23 +65,55 @@ class DeliveryStore:
 
     def upsert(self, batch: DataFrame) -> None:
         """Add one sorted run with the batch's best row of each key."""
-        if self.name is None:
-            self.path, self.name = scratch(self.spark, "store"), f"docloom_store_{uuid.uuid4().hex}"
         rows = self._best(batch.filter(F.col(self.key).isNotNull()))
-        self._write(rows.repartition(self.buckets, self.key), self.name, self.path, "append")
-        self.runs += 1
+        self.runs.append(self._write(rows.repartition(self.buckets, self.key)))
+
+    def merged(self, a: Run, b: Run) -> DataFrame:
+        """The rows of two runs, equal keys collapsed: a merge of their sorted buckets."""
+        x, y = self.spark.table(a.table).hint("merge").alias("x"), self.spark.table(b.table).alias("y")
+        first = F.col(f"y.{self.order}").isNull() | (F.col(f"x.{self.order}") <= F.col(f"y.{self.order}"))
+        pick = lambda c: F.when(first, F.col(f"x.`{c}`")).otherwise(F.col(f"y.`{c}`")).alias(c)
+        both = x.join(y, F.col(f"x.{self.key}") == F.col(f"y.{self.key}"), "full")
+        names = self.spark.table(a.table).columns
+        return both.select(F.coalesce(f"x.{self.key}", f"y.{self.key}").alias(self.key), *(pick(c) for c in names if c != self.key))
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one, equal keys collapsed, and return the store's rows."""
-        if self.name is None:
+        """Merge all runs into one and return the store's rows."""
+        if not self.runs:
             raise ValueError("nothing was upserted")
-        old, gone = self.path, self.name
-        merged = self._best(self.spark.table(self.name))
-        self.path, self.name, self.runs = scratch(self.spark, "store"), f"docloom_store_{uuid.uuid4().hex}", 1
-        self._write(merged, self.name, self.path, "overwrite")
-        self.spark.sql(f"DROP TABLE {gone}")
-        remove(self.spark, old)
-        return self.spark.table(self.name)
+        while len(self.runs) > 1:
+            self.runs.sort(key=lambda r: -r.rows)
+            b, a = self.runs.pop(), self.runs.pop()
+            with _sorted_buckets(self.spark):
+                self.runs.append(self._write(self.merged(a, b)))
+            self._drop(a)
+            self._drop(b)
+        (run,) = self.runs
+        if run.rows > 2 * BUCKET_ROWS * self.buckets:
+            self.buckets *= 2
+            self.runs = [self._write(self.spark.table(run.table).repartition(self.buckets, self.key))]
+            self._drop(run)
+        return self.spark.table(self.runs[0].table)
+
+    def close(self) -> DataFrame:
+        """Compact, take the tables out of the catalog and return the rows, which stay in the shared folder."""
+        schema = self.compact().schema
+        (run,) = self.runs
+        self._drop(run, files=False)
+        self.runs = []
+        return self.spark.read.schema(schema).parquet(run.path)
+
+
+@contextmanager
+def _sorted_buckets(spark: SparkSession):
+    """Let the planner rely on the order of a bucket's single file, so that a merge sorts nothing again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _orderable(rows: DataFrame, names: list[str]) -> bool:
@@ -74,15 +128,15 @@ def _identified(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def kept_deliveries(deliveries: DataFrame, runs: int = 3, buckets: int = 32) -> DataFrame:
+def kept_deliveries(deliveries: DataFrame, runs: int = 3) -> DataFrame:
     """(node, delivery_no) of the row that stays of each node: the one with its lowest delivery_no.
 
     The batches are upserted in ``runs`` groups of consecutive batch numbers (rows without one in the first), then
-    compacted. Rows without an id (pk and title null) can't be told apart from others and are left out here.
+    merged. Rows without an id (pk and title null) can't be told apart from others and are left out here.
     """
     rows = _identified(deliveries)
-    low, high = rows.agg(F.min("batch_no"), F.max("batch_no")).first()
-    store = DeliveryStore(deliveries.sparkSession, "node", "delivery_no", buckets)
+    low, high, n = deliveries.agg(F.min("batch_no"), F.max("batch_no"), F.count("*")).first()
+    store = DeliveryStore(deliveries.sparkSession, "node", "delivery_no", buckets_for(n))
     if low is None or high == low:
         store.upsert(rows.select("node", "delivery_no"))
     else:
@@ -91,7 +145,7 @@ def kept_deliveries(deliveries: DataFrame, runs: int = 3, buckets: int = 32) ->
             a = low + i * width
             inside = F.col("batch_no").between(a, a + width - 1)
             store.upsert(rows.filter(inside | F.col("batch_no").isNull() if i == 0 else inside).select("node", "delivery_no"))
-    return store.compact()
+    return store.close()
 
 
 def surplus_deliveries(deliveries: DataFrame) -> DataFrame:

@@ -36,3 +36,24 @@ def test_empty_and_clashing(spark):
     assert D.surplus_deliveries(table(spark, [])).count() == 0
     assert D.exactly_once(table(spark, [])).count() == 0
     assert D.surplus_deliveries(table(spark, rows(), "node string, kept long")).count() == 4
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark):
+    s = D.DeliveryStore(spark, "k", "o", 4)
+    s.upsert(spark.range(300).selectExpr("cast(id as string) k", "id * 2 o", "id v"))
+    s.upsert(spark.range(150, 450).selectExpr("cast(id as string) k", "id o", "-id v"))
+    with D._sorted_buckets(spark):
+        plan = s.merged(*s.runs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    got = {r.k: (r.o, r.v) for r in s.close().collect()}
+    assert got == {str(i): (i, -i) if i >= 150 else (2 * i, i) for i in range(450)}
+
+
+def test_full_buckets_are_doubled(spark, monkeypatch):
+    monkeypatch.setattr(D, "BUCKET_ROWS", 10)
+    s = D.DeliveryStore(spark, "k", "o", 2)
+    for i in range(3):
+        s.upsert(spark.range(40).selectExpr(f"cast(id + {i * 20} as string) k", f"id + {i} o"))
+        s.compact()
+    assert s.buckets == 8 and len(s.runs) == 1
+    assert {r.k: r.o for r in s.compact().collect()} == {str(k): min(k - 20 * i + i for i in range(3) if 0 <= k - 20 * i < 40) for k in range(80)}
