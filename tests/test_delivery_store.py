@@ -55,5 +55,5 @@ def test_full_buckets_are_doubled(spark, monkeypatch):
     for i in range(3):
         s.upsert(spark.range(40).selectExpr(f"cast(id + {i * 20} as string) k", f"id + {i} o"))
         s.compact()
-    assert s.buckets == 8 and len(s.runs) == 1
+    assert s.buckets == 4 and len(s.runs) == 1
     assert {r.k: r.o for r in s.compact().collect()} == {str(k): min(k - 20 * i + i for i in range(3) if 0 <= k - 20 * i < 40) for k in range(80)}
