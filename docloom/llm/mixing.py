@@ -51,26 +51,26 @@ def copy_rates(tokens: np.ndarray, share: np.ndarray, cap: np.ndarray, total: fl
 
 
 def pivot(p: np.ndarray, weight: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
-    """Round fractions p (between 0 and 1) keeping the sum of p * weight; at most one fraction is left, none if ``last``."""
+    """Round fractions p (between 0 and 1) keeping the sum of p * weight; at most one fraction is left, none if ``last``.
+
+    All fractions are paired at once, each pair leaves at most one, and these are paired again.
+    """
     p = p.astype(float).copy()
-    chance = rng.random(len(p) + 1)
-    open_ = -1
-    for j in np.flatnonzero((p > 0) & (p < 1)):
-        if open_ < 0:
-            open_ = j
-            continue
-        i = open_
-        gain_i, gain_j = (1 - p[i]) * weight[i], (1 - p[j]) * weight[j]
-        mass_i, mass_j = p[i] * weight[i], p[j] * weight[j]
-        to_i, to_j = min(gain_i, mass_j), min(gain_j, mass_i)
-        if chance[j] * (to_i + to_j) < to_j:  # i wins mass with the chance that keeps both expectations
-            p[i], p[j] = (1.0 if to_i == gain_i else p[i] + to_i / weight[i]), (0.0 if to_i == mass_j else p[j] - to_i / weight[j])
-        else:
-            p[j], p[i] = (1.0 if to_j == gain_j else p[j] + to_j / weight[j]), (0.0 if to_j == mass_i else p[i] - to_j / weight[i])
-        p[[i, j]] = np.where(p[[i, j]] > 1 - 1e-12, 1.0, np.where(p[[i, j]] < 1e-12, 0.0, p[[i, j]]))
-        open_ = i if 0 < p[i] < 1 else j if 0 < p[j] < 1 else -1
-    if last and open_ >= 0:
-        p[open_] = float(chance[-1] < p[open_])
+    while True:
+        open_ = np.flatnonzero((p > 0) & (p < 1))
+        if len(open_) < 2:
+            break
+        i, j = open_[0 : len(open_) // 2 * 2 : 2], open_[1::2]
+        a, b = p[i], p[j]
+        gain_a, gain_b, mass_a, mass_b = (1 - a) * weight[i], (1 - b) * weight[j], a * weight[i], b * weight[j]
+        to_a, to_b = np.minimum(gain_a, mass_b), np.minimum(gain_b, mass_a)
+        wins = rng.random(len(i)) * (to_a + to_b) < to_b  # the chance that keeps both expectations
+        p[i] = np.where(wins, np.where(to_a == gain_a, 1.0, a + to_a / weight[i]), np.where(to_b == mass_a, 0.0, a - to_b / weight[i]))
+        p[j] = np.where(wins, np.where(to_a == mass_b, 0.0, b - to_a / weight[j]), np.where(to_b == gain_b, 1.0, b + to_b / weight[j]))
+        p[p > 1 - 1e-12] = 1.0
+        p[p < 1e-12] = 0.0
+    if last and len(open_):
+        p[open_] = float(rng.random() < p[open_[0]])
     return p
 
 

@@ -1,14 +1,16 @@
 """Most similar vectors by a block matrix join.
 
 Vectors are scaled to int8 with the exact norm of what rounding took away. Blocks of int8 vectors are multiplied tile by tile
-(the products are whole numbers below 2^24, so single precision holds them exactly); the error norms bound every cosine from
-above, and only pairs whose bound reaches the threshold are recomputed from the original vectors in double precision.
-
-``similar_pairs`` joins all vectors with all. Which tiles are multiplied follows from a random rotation: a vector's block is
-its largest signed coordinate, and it is also sent to the blocks of its next largest ones. A pair above the threshold meets
-unless both miss the other's block; the number of blocks visited is set by simulation so that this happens to at most
-``1 - RECALL`` of the pairs at the threshold, less above it. A task multiplies all of its home
-rows with all of its visiting rows, however many they are, so the share that is missed doesn't depend on the size.
+(their products are whole numbers below 2^24, so single precision, in which they are multiplied, holds them exactly); scales
+and error norms bound every cosine from above and below, and only pairs whose bound reaches the threshold are recomputed
+from the original vectors in double precision. What tiles find of a vector is merged by heaps.
+
+``similar_pairs`` joins all vectors with all. With ``exact`` every tile is multiplied and no pair is lost. Without, which
+tiles are multiplied follows from a random rotation: a vector's block is its largest signed coordinate, and it is also sent to
+the blocks of its next largest ones. A pair above the threshold meets unless both miss the other's block; the number of
+blocks visited is set by simulation so that this happens to at most ``1 - RECALL`` of the pairs at the threshold, less above
+it. A block's home rows meet all its visiting rows, however many they are, so the share that is missed doesn't depend on the
+size; full blocks are divided into a grid of tasks, bounded in rows on both sides.
 ``nearest`` multiplies a stated query set with all vectors, every tile, and keeps the best k of each query.
 
 Equal vectors are one class: the join works on one representative of each and the members are joined afterwards, so a
@@ -19,7 +21,7 @@ or infinite number have no neighbours.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,10 @@ DIM = 64
 RECALL = 0.9985
 #: Home rows and visiting rows of one tile task at most, about; fuller blocks are divided into a grid of tasks.
 TASK_HOME, TASK_VISIT = 262_144, 262_144
+#: Rows of a block where every tile is multiplied, and queries of a task of ``nearest``, at most, about.
+BLOCK_ROWS, BLOCK_QUERIES = 32_768, 131_072
+#: Rows and columns of one tile.
+TILE_ROWS, TILE_COLUMNS = 2_048, 4_096
 CODE = 16 + DIM + 8  # key, int8 values, scale and error
 
 
@@ -188,21 +194,35 @@ def _tile_rows(classes: DataFrame, blocks: Blocks, count_only: bool = False) ->
     return classes.mapInArrow(run, "field string, block int, role string, part int, n int, data binary")
 
 
-def _tile(h: tuple, v: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose cosine may reach the threshold: int8 tile products against the error bounds."""
-    out = [np.zeros((0, 2), np.int64)]
-    (_, hq, ht), (_, vq, vt) = h, v
-    for i in range(0, len(hq), 2048):
-        a, sa, ea = hq[i : i + 2048].astype(np.float32), ht[i : i + 2048, 0], ht[i : i + 2048, 1]
-        for j in range(0, len(vq), 4096):
-            b, sb, eb = vq[j : j + 4096].astype(np.float32), vt[j : j + 4096, 0], vt[j : j + 4096, 1]
-            near = (a * sa[:, None]) @ (b * sb[:, None]).T
+def _tile(h: tuple, v: tuple, threshold: float) -> Iterator[list[tuple[float, bytes, bytes]]]:
+    """Runs of (-bound, smaller key, larger key), in order, of the pairs whose cosine may reach the threshold.
+
+    Tiles are products of int8 values. Their scales lie outside: the columns come in order of scale, so one limit a row,
+    made with the largest scale of a tile, leaves few pairs, whose own bounds then decide.
+    """
+    hk, hq, ht = h
+    order = np.argsort(v[2][:, 0], kind="stable")
+    vk, vq, vt = (x[order] for x in v)
+    for i in range(0, len(hq), TILE_ROWS):
+        a, sa, ea = hq[i : i + TILE_ROWS].astype(np.float32), ht[i : i + TILE_ROWS, 0], ht[i : i + TILE_ROWS, 1]
+        for j in range(0, len(vq), TILE_COLUMNS):
+            b, sb, eb = vq[j : j + TILE_COLUMNS].astype(np.float32), vt[j : j + TILE_COLUMNS, 0], vt[j : j + TILE_COLUMNS, 1]
             slack = ea.max() * (1 + eb.max()) + eb.max() + 1e-5
-            r, c = np.nonzero(near >= threshold - slack)
-            keep = (a[r] * b[c]).sum(1) * sa[r] * sb[c] + ea[r] * (1 + eb[c]) + eb[c] + 1e-5 >= threshold
-            out.append(np.stack([r[keep] + i, c[keep] + j], 1))
-    both = np.concatenate(out)
-    return both[:, 0], both[:, 1]
+            limit = (threshold - slack) / (sa * (sb.max() if threshold > slack else sb.min()))
+            r, c = np.nonzero(a @ b.T >= limit[:, None])
+            bound = (a[r] * b[c]).sum(1) * sa[r] * sb[c] + ea[r] * (1 + eb[c]) + eb[c] + 1e-5
+            keep = bound >= threshold
+            run = [(-float(z), min(x, y), max(x, y)) for z, x, y in zip(bound[keep], map(bytes, hk[i + r[keep]]), map(bytes, vk[j + c[keep]])) if x != y]
+            if run:
+                yield sorted(run)
+
+
+def _merged(runs: Iterable[list[tuple[float, bytes, bytes]]], field: str) -> pa.Table:
+    """The pairs of all runs, each once, best bound first: a heap over the runs."""
+    seen: dict[tuple[bytes, bytes], None] = {}
+    for _, x, y in heapq.merge(*runs):
+        seen.setdefault((x, y))
+    return pa.table({"field": pa.array([field] * len(seen), pa.string()), "a": pa.array([x for x, _ in seen], pa.binary()), "b": pa.array([y for _, y in seen], pa.binary())})
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -221,16 +241,27 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
         home_row = np.array(t["role"].to_pylist()) == "h"
         data = t["data"].to_pylist()
         own, visit = ([x for x, h in zip(data, home_row) if h == role] for role in (True, False))
-        found: set = set()
-        if own and visit:
-            h, v = _unpack(own), _unpack(visit)
-            r, c = _tile(h, v, threshold)
-            found = {(min(x, y), max(x, y)) for x, y in zip(map(bytes, h[0][r]), map(bytes, v[0][c])) if x != y}
-        return pa.table({"field": pa.array([key[0].as_py()] * len(found), pa.string()), "a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+        return _merged(_tile(_unpack(own), _unpack(visit), threshold) if own and visit else (), key[0].as_py())
 
     return spread.groupBy("field", "block", "i", "j").applyInArrow(run, "field string, a binary, b binary").distinct()
 
 
+def _every_tile(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(field, a, b), a < b: pairs of different vectors whose bound reaches the threshold, out of all tiles: exact."""
+    parts = max(1, -(-n // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    rows = classes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.select("field", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("home"), "key", "code")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        data, home = [a + b for a, b in zip(t["key"].to_pylist(), t["code"].to_pylist())], t["home"].to_pylist()
+        h = [x for x, first in zip(data, home) if first]
+        v = h if key[1].as_py() == key[2].as_py() else [x for x, first in zip(data, home) if not first]
+        return _merged(_tile(_unpack(h), _unpack(v), threshold) if h and v else (), key[0].as_py())
+
+    return rows.groupBy("field", "i", "j").applyInArrow(run, "field string, a binary, b binary")
+
+
 def _exact(deliveries: DataFrame, pairs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """pairs(field, a, b, ...) with the cosine in double precision, from the stored vectors."""
     ends = pairs.select("field", F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -246,21 +277,22 @@ def _exact(deliveries: DataFrame, pairs: DataFrame, fields: tuple[str, ...]) ->
     return joined.withColumn("cosine", F.expr(f"{dot('x', 'y')} / sqrt({dot('x', 'x')} * {dot('y', 'y')})")).drop("x", "y")
 
 
-def similar_classes(deliveries: DataFrame, threshold: float, fields: tuple[str, ...] = ("vector", "summary_vector")) -> tuple[DataFrame, DataFrame]:
+def similar_classes(deliveries: DataFrame, threshold: float, fields: tuple[str, ...] = ("vector", "summary_vector"), exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs (field, a, b, cosine) of different vectors with a cosine of at least the threshold, and members (field, key, node)."""
     codes = coded(deliveries, fields)
     classes = stash(_classes(codes), "classes")
-    pairs = stash(_candidates(classes, threshold), "pairs")
+    pairs = stash(_every_tile(classes, classes.count(), threshold) if exact else _candidates(classes, threshold), "pairs")
     return _exact(deliveries, pairs, fields).filter(F.col("cosine") >= threshold), codes.select("field", "key", "node").distinct()
 
 
-def similar_pairs(deliveries: DataFrame, threshold: float = 0.9, fields: tuple[str, ...] = ("vector", "summary_vector")) -> DataFrame:
+def similar_pairs(deliveries: DataFrame, threshold: float = 0.9, fields: tuple[str, ...] = ("vector", "summary_vector"), exact: bool = False) -> DataFrame:
     """(field, pk_a, pk_b, cosine), pk_a < pk_b: all pairs of nodes with a cosine of at least the threshold.
 
+    ``exact`` multiplies every tile; without it at least RECALL of the pairs at the threshold meet, and more of those above.
     Nodes with equal vectors are pairs too (cosine 1): this writes classes out as pairs, so it is for data in which a vector
     has few copies; otherwise use ``similar_classes``. No usable vector: no rows.
     """
-    pairs, members = similar_classes(deliveries, threshold, fields)
+    pairs, members = similar_classes(deliveries, threshold, fields, exact)
     members = stash(members, "members")
     side = lambda k, n: members.select("field", F.col("key").alias(k), F.col("node").alias(n))
     across = pairs.join(side("a", "m"), ["field", "a"]).join(side("b", "n"), ["field", "b"]).select("field", "m", "n", "cosine")
@@ -283,9 +315,9 @@ def nearest(deliveries: DataFrame, k: int = 10, every: int = 20, fields: tuple[s
     members = codes.select("field", "key", "node").distinct()
     asked = stash(members.filter(divisible("node", every)), "asked")
     queries = classes.join(asked.select("field", "key").distinct(), ["field", "key"], "left_semi")
-    # the corpus is cut into blocks; queries visit each, in blocks of their own
-    parts = int(max(1, min(64, n // 8_192)))
-    q_parts = int(max(1, asked.count() // 131_072 + 1))
+    # blocks of bounded size on both sides: their number grows with the vectors
+    parts = max(1, -(-n // BLOCK_ROWS), min(16, n // 8_192))
+    q_parts = max(1, -(-asked.count() // BLOCK_QUERIES))
     hashed = lambda m: F.pmod(F.xxhash64("key"), F.lit(m)).cast("int")
     corpus = classes.withColumn("i", hashed(parts)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).withColumn("role", F.lit("v"))
     visit = queries.withColumn("j", hashed(q_parts)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("role", F.lit("h"))
@@ -296,17 +328,12 @@ def nearest(deliveries: DataFrame, k: int = 10, every: int = 20, fields: tuple[s
         q, c = ([x for x, h in zip(data, asks) if h == role] for role in (True, False))
         a, b, low, high = [], [], [np.zeros(0, np.float32)], [np.zeros(0, np.float32)]
         if q and c:
-            (qk, qq, qt), (ck, cq, ct) = _unpack(q), _unpack(c)
-            for i in range(0, len(qk), 512):
-                near = (qq[i : i + 512] * qt[i : i + 512, :1]) @ (cq * ct[:, :1]).T
-                slack = qt[i : i + 512, 1:] * (1 + ct[:, 1].max()) + ct[:, 1].max() + 1e-5
-                m = min(k + 1, near.shape[1])  # one more: a query finds its own class
-                kth = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m][:, None] - slack
-                r, col = np.nonzero(near + slack >= kth)
-                a += map(bytes, qk[i + r])
+            (qk, *qs), (ck, *cs) = _unpack(q), _unpack(c)
+            for r, col, least, most in best_bounds(*qs, *cs, k + 1):  # one more: a query finds its own class
+                a += map(bytes, qk[r])
                 b += map(bytes, ck[col])
-                low.append(near[r, col] - slack[r, 0])
-                high.append(near[r, col] + slack[r, 0])
+                low.append(least)
+                high.append(most)
         return pa.table({"field": pa.array([key[0].as_py()] * len(a), pa.string()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "low": np.concatenate(low).astype(np.float32), "high": np.concatenate(high).astype(np.float32)})
 
     tiles = corpus.select("field", "i", "j", "role", "key", "code").unionByName(visit.select("field", "i", "j", "role", "key", "code"))
@@ -332,6 +359,30 @@ def nearest(deliveries: DataFrame, k: int = 10, every: int = 20, fields: tuple[s
     return mine.withColumn("rank", rank).filter(F.col("rank") <= k).select("field", "pk", "rank", "neighbour", "cosine")
 
 
+def best_bounds(qq: np.ndarray, qt: np.ndarray, cq: np.ndarray, ct: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, lower bounds, upper bounds) of all that may be among a row's best k, a few rows at a time.
+
+    Tiles are bounded in rows and columns. Each row keeps a heap of its k best lower bounds over the tiles; only what
+    reaches the smallest of them at the end goes on.
+    """
+    for i in range(0, len(qq), 512):
+        q, sq, eq = qq[i : i + 512].astype(np.float32), qt[i : i + 512, :1], qt[i : i + 512, 1:]
+        heap = np.full((len(q), k), -np.inf, np.float32)
+        found = []
+        for j in range(0, len(cq), TILE_COLUMNS):
+            x, sx, ex = cq[j : j + TILE_COLUMNS].astype(np.float32), ct[j : j + TILE_COLUMNS, 0], ct[j : j + TILE_COLUMNS, 1]
+            near = (q @ x.T) * sq * sx
+            slack = eq * (1 + ex.max()) + ex.max() + np.float32(1e-5)
+            m = min(k, near.shape[1])
+            top = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m :] - slack
+            heap = np.partition(np.concatenate([heap, top], 1), m, axis=1)[:, m:]
+            r, c = np.nonzero(near + slack >= heap.min(1)[:, None])
+            found.append((r, c + j, near[r, c] - slack[r, 0], near[r, c] + slack[r, 0]))
+        r, c, low, high = (np.concatenate(x) for x in zip(*found))
+        keep = high >= heap.min(1)[r]
+        yield i + r[keep], c[keep], low[keep], high[keep]
+
+
 def divisible(column: str, by: int):
     """Whether a plain id, read as a hexadecimal number, is divisible: its digits folded, so that no number overflows."""
     digits = F.translate(F.col(column), "-", "")

@@ -65,16 +65,40 @@ def test_blocks_meet_often_enough():
         assert b.meetings(0.9)[-1] >= V.RECALL and b.meetings(0.95)[-1] >= 0.9995 and b.visits < 20
 
 
-def test_second_rotation_finds_the_same(monkeypatch):
-    rng = np.random.default_rng(8)
-    x = rng.standard_normal((3000, 64))
-    x[1500:] = x[:1500] + 0.25 * rng.standard_normal((1500, 64))
+def test_exact_mode_loses_nothing(spark, monkeypatch):
+    """Every tile, with blocks and tiles so small that many meet; a low threshold, where the rotation would miss pairs."""
+    nodes, x = make(spark)
+    for name, n in {"BLOCK_ROWS": 40, "TILE_ROWS": 13, "TILE_COLUMNS": 7}.items():
+        monkeypatch.setattr(V, name, n)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    for least in (0.2, 0.9):
+        want = {(uid(i), uid(j)) for i in range(240) for j in range(i + 1, 240) if s[i, j] >= least}
+        got = V.similar_pairs(nodes, least, ("vector",), exact=True).collect()
+        assert {(r.pk_a, r.pk_b) for r in got} == want and len(got) == len(want)
+
+
+def test_tiles_with_very_different_scales():
+    """One limit a row and tile loses no pair when the largest values, and with them the scales, differ widely; runs are in order."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 64)) * np.exp(rng.standard_normal((400, 64)) * rng.integers(0, 3, (400, 1)))
+    x[200:] = x[:200] + 0.1 * np.abs(x[:200]).mean(1, keepdims=True) * rng.standard_normal((200, 64))
     q, s, e = V.quantise(x)
-    rows = (np.arange(3000), q, np.stack([s, e], 1))
-    direct = set(zip(*map(list, V._survivors(rows, rows, 0.9, None))))
-    monkeypatch.setattr(V, "DIRECT_PAIRS", 1000)
-    divided = set(zip(*map(list, V._survivors(rows, rows, 0.9, V.Blocks.suited(1, 0.9)))))
-    assert divided <= direct and len(divided) >= 0.998 * len(direct) and len(direct) > 5000
+    key = np.frombuffer(b"".join(i.to_bytes(16, "big") for i in range(400)), "V16")
+    rows = (key, q, np.stack([s, e], 1))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.9)) if i < j}
+    runs = list(V._tile(rows, rows, 0.9))
+    assert all(r == sorted(r) for r in runs)
+    merged = V._merged(runs, "vector")
+    got = {(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(merged["a"].to_pylist(), merged["b"].to_pylist())}
+    assert true <= got and len(got) == merged.num_rows and len(got) < len(true) + 200
+
+
+def test_nearest_over_many_blocks_and_tiles(spark, monkeypatch):
+    for name, n in {"BLOCK_ROWS": 50, "BLOCK_QUERIES": 60, "TILE_COLUMNS": 9}.items():
+        monkeypatch.setattr(V, name, n)
+    test_nearest_is_exact(spark)
 
 
 def test_ids_divisible(spark):
