@@ -3,9 +3,10 @@
 Every page becomes a sequence of word classes: function words by language, kinds of content words, numbers, links, marks.
 Content words that belong to a pair repeated densely on the page have classes of their own. A trigram model of classes is
 trained on all prose units (sentences with function words and an end) of the whole corpus; its counts fit into a table of
-fixed size. The surprisal of prose units gives the normal range, and a page with about a third of its characters
-in units whose perplexity is abnormally high or low, or in densely repeated words, is suspect. An exact check of the suspects' texts then decides: a page is spam
-if more than half of its characters are dense keywords, links without explaining sentences or lists of tags or goods.
+fixed size. The surprisal of prose units gives the normal range, and a page is suspect if about a third of its characters lie
+in units whose perplexity is abnormally high or low, or in the classes of densely repeated words, which prose has hardly.
+An exact check of the suspects' texts then decides: a page is spam if more than half of its characters are dense keywords,
+links without explaining sentences or lists of tags or goods.
 
 Code, logs, table rows and key-value lines are never counted as spam, nor are headings. Null, empty and blank texts are no
 cases. Each row is judged by itself, so repeated pages are all found. Very long texts are read whole.
@@ -13,8 +14,9 @@ cases. Each row is judged by itself, so repeated pages are all found. Very long
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ _LEET = str.maketrans("01345@$", "oieasas")
 ENGLISH = frozenset("a an and any are as at be because before but by can could does for from has have how if in is it its may nor not of on once only or so than that the their then there this to under until was we what when where which while who why will with would you your after all each when into no".split())
 GERMAN = frozenset("aber als am auf aus bei bevor bis das dass dem den denn der des die durch ein eine einem einen einer es für gilt hat im in ist kein keine man mit muss nach nicht oder ohne sich sind sie sobald sodann über um und vom von vor wenn wer werden wie wird wir zu zum zur zwischen".split())
 CHINESE = frozenset("的了在是和与及或不为以从到由把被将会要可就都也而但若如果则因所其这有并之于让向又再仅")
+_EUROPEAN = ENGLISH | GERMAN
+_HAN, _FUNCTION = re.compile("[一-鿿]"), re.compile("[" + "".join(sorted(CHINESE)) + "]")
 
 CLASSES = ("start", "end", "line", "english", "german", "chinese", "han", "lower", "capital", "upper", "compound", "number", "link", "comma", "separator", "bracket", "quote", "other", "han+", "word+")
 _ID = {name: i for i, name in enumerate(CLASSES)}
@@ -90,10 +94,9 @@ class Classifier:
         words = [_TOKEN.findall(_INVISIBLE.sub("", t)) for t in texts]
         if len(self.known) > self.LIMIT:
             self.__init__()
-        every = [w for ws in words for w in ws]
-        fresh = [w for w in dict.fromkeys(every) if w not in self.known]
-        for w in fresh:
-            self.known[w] = len(self.known)
+        every = list(itertools.chain.from_iterable(words))
+        fresh = sorted(set(every).difference(self.known))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
         self.kind = np.concatenate([self.kind, np.array([word_class(w) for w in fresh], np.uint8)])
         self.size = np.concatenate([self.size, np.array([len(w) for w in fresh], np.int64)])
         n = np.array([len(w) for w in words], np.int64)
@@ -235,24 +238,25 @@ def normal_range(seqs: DataFrame, costs: np.ndarray) -> tuple[float, float]:
 
 
 def page_scores(seqs: DataFrame, costs: np.ndarray, mean: float, sd: float, width: float = 1.7) -> DataFrame:
-    """(key, perplexity, abnormal, dense): a page's perplexity, the shares of its characters in units outside the normal
-    range and in densely repeated words."""
+    """(key, perplexity, abnormal): a page's perplexity and the share of its characters whose classes no prose has.
+
+    These are units with a perplexity outside the normal range, and elsewhere the classes of densely repeated words.
+    """
+    repeated = np.isin(np.arange(C), [_ID["han+"], _ID["word+"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, kind, size = _batch_arrays(batch)
-            perplexity, share, dense = np.ones(len(n)), np.zeros(len(n)), np.zeros(len(n))
+            perplexity, share = np.ones(len(n)), np.zeros(len(n))
             if len(kind):
                 unit, first, bits = _surprisal(n, kind, costs)
                 doc = np.repeat(np.arange(len(n)), n)
-                odd = np.abs(bits - mean) > width * sd
-                chars = np.bincount(doc, size, len(n))
-                share = np.bincount(doc, size * odd[unit], len(n)) / np.maximum(chars, 1)
-                dense = np.bincount(doc, size * np.isin(kind, [_ID["han+"], _ID["word+"]]), len(n)) / np.maximum(chars, 1)
+                odd = (np.abs(bits - mean) > width * sd)[unit] | repeated[kind]
+                share = np.bincount(doc, size * odd, len(n)) / np.maximum(np.bincount(doc, size, len(n)), 1)
                 perplexity = 2 ** (np.bincount(doc, costs[trigrams(kind, first)], len(n)) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(perplexity), pa.array(share), pa.array(dense)], ["key", "perplexity", "abnormal", "dense"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(perplexity), pa.array(share)], ["key", "perplexity", "abnormal"])
 
-    return seqs.mapInArrow(run, f"key {seqs.schema['key'].dataType.simpleString()}, perplexity double, abnormal double, dense double")
+    return seqs.mapInArrow(run, f"key {seqs.schema['key'].dataType.simpleString()}, perplexity double, abnormal double")
 
 
 def is_sentence(text: str, closed: bool = False) -> bool:
@@ -265,9 +269,9 @@ def is_sentence(text: str, closed: bool = False) -> bool:
     if closed and not mark:
         return False
     words = _WORD.findall(text.lower())
-    han = sum("一" <= w <= "鿿" for w in words)
+    han = len(_HAN.findall(text))
     other = len(words) - han
-    marks, european = [w for w in words if w in CHINESE], sum(w in ENGLISH or w in GERMAN for w in words)
+    marks, european = _FUNCTION.findall(text), sum(map(_EUROPEAN.__contains__, words))
     chinese = len(marks) if mark or len(set(marks)) >= 2 else 0
     if han >= 10 and chinese >= max(1, 0.05 * (han + other)) or other >= 6 and european >= max(2, 0.1 * other):
         return True
@@ -279,7 +283,7 @@ def _short_sentence(text: str) -> bool:
     if text.rstrip()[-1:] not in tuple(".!?。！？"):
         return False
     words = _WORD.findall(text.lower())
-    return len(words) >= 4 and any(w in ENGLISH or w in GERMAN or w in CHINESE for w in words)
+    return len(words) >= 4 and any(w in _EUROPEAN or w in CHINESE for w in words)
 
 
 _marks: list[np.ndarray] = []
@@ -298,42 +302,82 @@ def _tables() -> list[np.ndarray]:
     return _marks
 
 
-def _covered(code: np.ndarray, usable: np.ndarray, unit: np.ndarray, plain: np.ndarray, han: np.ndarray, once_in: int) -> np.ndarray:
-    """Characters inside dense keywords: runs of 4 Han or 6 other characters that come again and again.
+class Runs:
+    """Densely repeated runs of 4 Han or 6 other characters of one page: keywords, unless they belong to repeated sentences."""
 
-    Such a run counts if in a third of its units it is repeated, or the unit is no sentence (``plain``): a sentence that comes
-    again is no keyword.
-    """
-    at, out = np.flatnonzero(usable), np.zeros(len(code), bool)
-    for width, kind in ((4, han), (6, ~han)):
-        m = len(at) - width + 1
-        if m <= 0:
-            continue
-        c, h = code[at], np.zeros(m, np.int64)
-        for j in range(width):
-            h = h * 1_000_003 + c[j : m + j]
-        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-        dense = (times[inverse] >= max(4, len(at) / once_in)) & kind[at][:m]
-        where = unit[at][:m]
-        _, first, n = np.unique(inverse * (unit.max() + 1) + where, return_index=True, return_counts=True)
-        run, keyword = inverse[first], (n >= 2) | plain[where[first]]  # one row for each run and unit
-        good = np.bincount(run, keyword, len(times)) >= 0.3 * np.bincount(run, minlength=len(times))
-        hit = np.flatnonzero(dense & good[inverse])
-        for j in range(width):
-            out[at[hit + j]] = True
-    return out
-
-
-def spam_share(text: str) -> float:
+    def __init__(self, code: np.ndarray, usable: np.ndarray, unit: np.ndarray, han: np.ndarray, once_in: int):
+        self.n, self.found = len(code), []
+        at = np.flatnonzero(usable)
+        for width, kind in ((4, han), (6, ~han)):
+            m = len(at) - width + 1
+            begins = np.flatnonzero(kind[at][:m]) if m > 0 else ()
+            if len(begins) < 4:
+                continue
+            c, h = code[at], np.zeros(m, np.int64)
+            for j in range(width):
+                h = h * 1_000_003 + c[j : m + j]
+            # every start counts for how often a run comes, only those of the kind can be keywords
+            order = np.argsort(h, kind="stable")
+            cut = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] - 1))
+            times = np.diff(np.append(cut, m))
+            number = np.empty(m, np.int64)
+            number[order] = np.repeat(np.arange(len(cut)), times)
+            dense = times >= max(4, len(at) / once_in)
+            if not dense.any():
+                continue
+            chosen = np.flatnonzero(dense[number])
+            pair, first, many = np.unique(number[chosen] * (int(unit[-1]) + 1) + unit[at[chosen]], return_index=True, return_counts=True)
+            self.found.append((width, at, number, chosen[kind[at[chosen]]], number[chosen[first]], unit[at[chosen[first]]], many, len(cut)))
+
+    def units(self) -> np.ndarray:
+        """Units that hold a dense run."""
+        return np.unique(np.concatenate([f[5] for f in self.found])) if self.found else np.zeros(0, np.int64)
+
+    def covered(self, plain: np.ndarray) -> np.ndarray:
+        """Characters inside dense keywords: in a third of its units such a run is repeated, or the unit is no sentence (``plain``)."""
+        out = np.zeros(self.n, bool)
+        for width, at, number, hits, run, unit, many, size in self.found:
+            keyword = (many >= 2) | plain[unit]
+            good = np.bincount(run, keyword, size) >= 0.3 * np.maximum(np.bincount(run, minlength=size), 1)
+            hit = hits[good[number[hits]]]
+            for j in range(width):
+                out[at[hit + j]] = True
+        return out
+
+
+class _Sentences:
+    """Whether each unit of a page is no sentence; looked at when first asked for."""
+
+    def __init__(self, text: str, bounds: list[tuple[int, int]]):
+        self.text, self.bounds = text, bounds
+        self.plain = np.zeros(len(bounds), bool)
+        self.known = np.zeros(len(bounds), bool)
+
+    def __getitem__(self, i: int) -> bool:
+        if not self.known[i]:
+            a, b = self.bounds[i]
+            self.plain[i], self.known[i] = not is_sentence(self.text[a:b]), True
+        return bool(self.plain[i])
+
+    def of(self, units: Iterable[int]) -> np.ndarray:
+        """The flags, settled for ``units``."""
+        for i in units:
+            self[i]
+        return self.plain
+
+
+def spam_share(text: str, least: float = 0.0) -> float:
     """Share of a page's visible characters that are dense keywords, bare links or lists of tags or goods.
 
-    Of stuffed sentences only the characters inside keywords count, not the words and marks between them.
+    Of stuffed sentences only the characters inside keywords count, not the words and marks between them. Where it is plain
+    that the share can't exceed ``least``, an upper bound not above it comes back instead of the share.
     """
     alnum, blank, fold = _tables()
     text = _INVISIBLE.sub("", text)
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     visible = ~blank[raw]
-    if not visible.any():
+    total = int(visible.sum())
+    if not total:
         return 0.0
     n = len(text)
     honest, links = np.zeros(n, bool), np.zeros(n, bool)
@@ -352,33 +396,45 @@ def spam_share(text: str) -> float:
     spans = [m.span() for m in _LINK.finditer(text) if not honest[m.start()]]
     for i, (a, b) in enumerate(spans):
         before, after = text[spans[i - 1][1] if i else 0 : a], text[b : spans[i + 1][0] if i + 1 < len(spans) else n]
-        if is_sentence(after.split("\n")[0], True) or is_sentence(before.rsplit("\n", 1)[-1], True):
+        if is_sentence(after.split("\n", 1)[0], True) or is_sentence(before.rsplit("\n", 1)[-1], True):
             continue
         links[a:b] = True
         if len(after) <= 120 and not is_sentence(after, True):
             links[b : b + len(after)] = True
         if len(before) <= 120 and not is_sentence(before, True):
             links[a - len(before) : a] = True
+    bound = float((visible & (links | ~fence)).sum() / total)
+    if bound <= least:
+        return bound
     bounds = [m.span() for m in _UNIT.finditer(text)]
-    unit, plain = np.zeros(n, np.int64), np.zeros(len(bounds), bool)
-    for i, (a, b) in enumerate(bounds):
-        unit[a:b], plain[i] = i, not is_sentence(text[a:b])
+    unit = np.repeat(np.arange(len(bounds)), [b - a for a, b in bounds])
+    plain = _Sentences(text, bounds)
     code = fold[raw]
     han = (code >= 0x4E00) & (code <= 0x9FFF)
-    letters = han | alnum[code]
-    body = letters & ~links & ~fence
+    body = (han | alnum[code]) & ~links & ~fence
     size = np.bincount(unit, body, len(bounds))
     full = lambda c: np.bincount(unit, c & body, len(bounds)) >= 0.4 * np.maximum(size, 1)
-    covered = _covered(code, body, unit, plain, han, 220)
-    stuffed = full(covered)
-    if (stuffed & ~plain).any():  # what comes again and again in stuffed sentences is a keyword too
-        covered = _covered(code, body, unit, plain | stuffed, han, 220)
+    runs = Runs(code, body, unit, han, 220)
+    covered, stuffed = np.zeros(n, bool), np.zeros(len(bounds), bool)
+    if runs.found:
+        flags = plain.of(runs.units())
+        covered = runs.covered(flags)
         stuffed = full(covered)
-    spam, items, listed = links | covered & body, 0, np.zeros(n, bool)
-    for i, (a, b) in enumerate(bounds):
-        if not size[i] or not plain[i] and not stuffed[i] or links[a:b].any() or fence[a:b].mean() > 0.5:
-            continue
-        if (honest[a:b] & ~fence[a:b]).any() and not stuffed[i] or _short_sentence(text[a:b]):
+        if (stuffed & ~flags & plain.known).any():  # what comes again and again in stuffed sentences is a keyword too
+            covered = runs.covered(flags | stuffed)
+            stuffed = full(covered)
+    linked, fenced = np.bincount(unit, links, len(bounds)), np.bincount(unit, fence, len(bounds))
+    keyed = np.bincount(unit, honest & ~fence, len(bounds)) > 0
+    length = np.bincount(unit, minlength=len(bounds))
+    eligible = (size > 0) & (linked == 0) & (fenced <= 0.5 * length) & (stuffed | ~keyed)
+    spam = links | covered & body
+    bound = float((visible & (spam | eligible[unit] & ~fence)).sum() / total)
+    if bound <= least:
+        return bound
+    items, listed = 0, np.zeros(n, bool)
+    for i in np.flatnonzero(eligible):
+        a, b = bounds[i]
+        if not plain[i] and not stuffed[i] or _short_sentence(text[a:b]):
             continue
         parts = [x for x in _ITEM.split(text[a:b]) if x.strip()]
         if not plain[i]:  # stuffed: a list if no item is a sentence without its keywords
@@ -390,16 +446,16 @@ def spam_share(text: str) -> float:
         items += max(len(parts), words // 2 if words >= 12 else 0)
     if items >= 8:
         spam |= listed
-    return float((spam & visible).sum() / visible.sum())
+    return float((spam & visible).sum() / total)
 
 
-def suspects(documents: DataFrame, key: str = "doc_id", least: float = 0.35, repeated: float = 0.35) -> DataFrame:
-    """(key, perplexity, abnormal) of the pages that the model finds abnormal: about a third of the characters lie in abnormal
-    units or in densely repeated words. The bar is well below one half, as some stuffed sentences look normal."""
+def suspects(documents: DataFrame, key: str = "doc_id", least: float = 0.35) -> DataFrame:
+    """(key, perplexity, abnormal) of the pages that the model finds abnormal: about a third of their characters lie where
+    the classes are no prose. The bar is well below one half, as some stuffed sentences look normal."""
     seqs = sequences(documents, key)
     costs = train(seqs)
     mean, sd = normal_range(seqs, costs)
-    return page_scores(seqs, costs, mean, sd).filter((F.col("abnormal") >= least) | (F.col("dense") >= repeated)).select(F.col("key").alias(key), "perplexity", "abnormal")
+    return page_scores(seqs, costs, mean, sd).filter(F.col("abnormal") >= least).withColumnRenamed("key", key)
 
 
 #: The case as the problem states it: more than half of the characters.
@@ -417,7 +473,7 @@ def find_spam(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share = pa.array([spam_share(t) if t else 0.0 for t in batch.column("text").to_pylist()], pa.float64())
+            share = pa.array([spam_share(t, SPAM_SHARE) if t else 0.0 for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("perplexity"), batch.column("abnormal"), share], ["key", "perplexity", "abnormal", "share"])
 
     kind = documents.schema[key].dataType.simpleString()
