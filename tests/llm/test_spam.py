@@ -84,3 +84,11 @@ def test_long_tokens_keep_their_length(spark):
     (n, _, size) = S._batch_arrays(S.sequences(df.filter("doc_id = 1")).select("key", "kinds", "sizes").toArrow().to_batches()[0])
     assert len(size) == n[0] and size.max() > 3000
     assert [r.doc_id for r in S.find_spam(df).collect()] == [1]
+
+
+def test_bounds_end_a_look_only_where_it_makes_no_difference():
+    """With a limit, pages above it have the very share; the others a bound that isn't above the limit either."""
+    mixed = [a + "\n" + b for a in GOOD for b in BAD] + GOOD + BAD
+    for t in mixed:
+        whole, short = S.spam_share(t), S.spam_share(t, 0.5)
+        assert (short == whole) if whole > 0.5 else (whole <= short <= 0.5)
