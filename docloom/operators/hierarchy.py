@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docloom.functions.ids import canonical_id, node_id
 from docloom.operators.skew import lookup_join
-from docloom.session import drop_stash, stash
+from docloom.session import drop_stash, stash, stash_counted
 
 
 def parent_links(deliveries: DataFrame) -> DataFrame:
@@ -41,10 +41,11 @@ def resolve(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], Dat
 
     Returns the written parts of the resolved nodes (pk, anc = top node, dist = depth, dangling = the top's parent never
     came, and with ``paths`` seg = the ancestors from the parent up to the top) and the nodes on or below cycles
-    (pk, anc = their parent), or None if there are none. An empty input gives empty parts.
+    (pk, anc = their parent, jump = where the doubled pointer leads), or None if there are none. An empty input gives empty
+    parts.
     """
-    base = stash(links.select("pk", "parent"), "links")
-    n = base.count()
+    base, counts = stash_counted(links.select("pk", "parent"), "links", n=F.lit(True))
+    n = counts["n"]
     known = base.select(F.col("pk").alias("parent"), F.lit(True).alias("there"))
     start = lookup_join(base, known, "parent", n)
     top = ~F.coalesce("there", F.lit(False))
@@ -56,11 +57,11 @@ def resolve(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], Dat
         (top & F.col("parent").isNotNull()).alias("dangling"),
         *([F.when(top, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("seg")] if paths else []),
     )
-    current = stash(state, "round")
+    current, counts = stash_counted(state, "round", left=~F.col("done"))
     drop_stash(base)
     parts = [current.filter("done")]
     keep = ["pk", "anc", "dist", "done", "dangling"] + ["seg"] * paths
-    left = current.filter("not done").count()
+    left = counts["left"]
     first = current
     while left:
         jump = _union([*parts, current.filter("not done")])
@@ -73,46 +74,51 @@ def resolve(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], Dat
             F.col("r_dangling").alias("dangling"),
             *([F.concat("seg", "r_seg").alias("seg")] if paths else []),
         )
-        before, last, current = left, current, stash(step, "round")
-        left = current.filter("not done").count()
+        before, last = left, current
+        current, counts = stash_counted(step, "round", left=~F.col("done"))
+        left = counts["left"]
         if left == before:  # nothing resolved: the rest never reaches a top
             drop_stash(current)
-            if last is first:
-                rest = last.filter("not done").select("pk", "anc")
-            else:
-                rest = first.join(last.filter("not done").select("pk"), "pk", "left_semi").select("pk", "anc")
+            far = last.filter("not done").select("pk", F.col("anc").alias("jump"))
+            rest = far.select("pk", F.col("jump").alias("anc"), "jump") if last is first else first.select("pk", "anc").join(far, "pk")
             return parts, rest
         parts.append(current.filter("done"))
     return parts, None
 
 
 def cycles(rest: DataFrame) -> DataFrame:
-    """(pk, cycle_pk) of the nodes on cycles, out of nodes that all lead into one: ``rest(pk, anc = parent)``.
+    """(pk, cycle_pk) of the nodes on cycles, out of nodes that all lead into one: ``rest(pk, anc = parent, jump)``.
 
-    The images of the doubled step shrink until they hold the cycles only (equal size twice: the step is one-to-one on
-    them). On those, doubling with the minimum finds the smallest pk; a round that changes nothing has seen whole cycles.
+    The images of the doubled step (from ``jump`` on, any number of steps up) shrink until they hold the cycles only (equal
+    size twice: the step is one-to-one on them). On those, doubling with the minimum finds the smallest pk, two doublings a
+    round; a round that changes nothing has seen whole cycles.
     """
-    step = stash(rest.select("pk", "anc"), "step")
-    size = step.count()
+    step, counts = stash_counted(rest.select("pk", F.col("jump").alias("anc")), "step", size=F.lit(True))
+    size = counts["size"]
+    image, counts = stash_counted(step.select("anc").distinct(), "image", n=F.lit(True))
+    a = counts["n"]
     while True:
-        image = step.select("anc").distinct()
         doubled = stash(lookup_join(step, step.select(F.col("pk").alias("anc"), F.col("anc").alias("to")), "anc", size, "inner").select("pk", F.col("to").alias("anc")), "step")
-        a, b = image.count(), doubled.select("anc").distinct().count()
-        if a == b:
-            on = stash(image.select(F.col("anc").alias("pk")), "cycle")
+        smaller, counts = stash_counted(doubled.select("anc").distinct(), "image", n=F.lit(True))
+        if counts["n"] == a:
+            on = image.select(F.col("anc").alias("pk"))
             break
         drop_stash(step)
-        step = doubled
-    low = rest.join(on, "pk", "left_semi").select("pk", "anc", F.least("pk", "anc").alias("cycle_pk"))
-    low = stash(low, "low")
+        drop_stash(image)
+        step, image, a = doubled, smaller, counts["n"]
+    low = stash(rest.join(on, "pk", "left_semi").select("pk", "anc", F.least("pk", "anc").alias("cycle_pk")), "low")
+
+    def doubled_low(now: DataFrame) -> DataFrame:
+        right = now.select(F.col("pk").alias("anc"), F.col("anc").alias("to"), F.col("cycle_pk").alias("other"))
+        changed = F.col("other") < F.col("cycle_pk")
+        return now.join(right, "anc").select("pk", F.col("to").alias("anc"), F.least("cycle_pk", "other").alias("cycle_pk"), (F.col("changed") | changed if "changed" in now.columns else changed).alias("changed"))
+
     while True:
-        right = low.select(F.col("pk").alias("anc"), F.col("anc").alias("to"), F.col("cycle_pk").alias("other"))
-        following = stash(low.join(right, "anc").select("pk", F.col("to").alias("anc"), F.least("cycle_pk", "other").alias("cycle_pk"), (F.col("other") < F.col("cycle_pk")).alias("changed")), "low")
-        changed = following.filter("changed").limit(1).count()
+        following, counts = stash_counted(doubled_low(doubled_low(low)), "low", changed=F.col("changed"))
         drop_stash(low)
         low = following.drop("changed")
         low._docloom_path = following._docloom_path
-        if not changed:
+        if not counts["changed"]:
             return low.select("pk", "cycle_pk")
 
 

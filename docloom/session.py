@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -103,6 +103,13 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def stash_counted(df: DataFrame, tag: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stash``, and how many of the rows fulfil each condition, observed while they are written."""
+    seen = Observation()
+    out = stash(df.observe(seen, *(F.count_if(c).alias(name) for name, c in counts.items())), tag)
+    return out, {name: int(seen.get.get(name) or 0) for name in counts}
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete what ``stash`` wrote, once no later plan reads it."""
     path = getattr(df, "_docloom_path", None)
