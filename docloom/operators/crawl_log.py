@@ -7,6 +7,8 @@ over, so that no window sees the whole log.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import text as T
@@ -86,3 +88,27 @@ def error_lines(stats: DataFrame) -> DataFrame:
     """(rank, line): the error summary in fixed columns, by falling count."""
     w = Window.orderBy(F.desc("n"), "error")  # a few error classes
     return stats.select(F.row_number().over(w).alias("rank"), F.concat(F.rpad(F.substring("error", 1, 40), 40, " "), F.lit(" | "), F.lpad(F.col("n").cast("string"), 6, " "), F.lit(" | "), F.lpad(F.col("n_urls").cast("string"), 6, " ")).alias("line"))
+
+
+def findings(parsed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(section, item, line): the report of one crawl, to be read in order of section and item.
+
+    Sections: totals, failed urls, files of several urls, urls that were neither saved nor failed, and of these the one
+    started last. ``item`` is '' for a section's head and otherwise what the line is about.
+    """
+    t = totals(parsed)
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    heads = F.array(F.concat(F.lit("日志中记录的访问URL数量: "), n("visited_urls")), F.concat(F.lit("日志中记录的保存文件数量: "), n("saved_files")), F.concat(F.lit("日志中记录的失败URL数量: "), n("failed_urls")), F.concat(F.lit("最终进度: "), n("visited"), F.lit("/"), n("total")))
+    basic = t.select(F.lit(1).alias("section"), F.posexplode(heads).alias("item", "line")).withColumn("item", F.col("item").cast("string"))
+    listed = lambda rows, c, section, line: rows.select(F.lit(section).alias("section"), F.col(c).alias("item"), line.alias("line"))
+    headed = lambda rows, section, text: rows.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(section).alias("section"), F.lit("").alias("item"), F.format_string(text, "n").alias("line"))
+    failed = parsed.filter("failed is not null").select("failed").distinct()
+    several = name_conflicts(pairs)
+    open_ = unsaved(parsed, pairs)
+    last = parsed.join(open_, F.col("started") == F.col("url"), "left_semi").agg(F.max_by("started", "line_no").alias("url")).filter("url is not null")
+    bullet = lambda c: F.concat(F.lit("  - "), c)
+    parts = [
+        basic, headed(failed, 2, "失败URL: %d"), listed(failed, "failed", 2, bullet(F.col("failed"))),
+        headed(several, 3, "发现 %d 个文件名被多个URL使用:"), listed(several, "file", 3, F.concat(F.lit("文件名: "), "file", F.lit(" URL: "), "urls")),
+        headed(open_, 4, "发现 %d 个URL被访问但未保存:"), listed(open_, "url", 4, bullet(F.col("url"))), listed(last, "url", 5, F.concat(F.lit("最后访问的URL: "), "url"))]
+    return reduce(DataFrame.unionByName, parts)

@@ -229,6 +229,12 @@ def rerank(candidates: DataFrame, top_n: int = 5, scorer: Callable[[Column, Colu
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("is_event"), "place"))).select("query_id", "pk", "rerank_score", "rank", "is_event")
 
 
+def instruction_for(operation: Column, table: dict[str, str], default: str) -> Column:
+    """The scorer's instruction for an operation, the default for one that isn't in the table or null."""
+    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv)) if table else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.element_at(known, operation), F.lit(default))
+
+
 def rerank_pair(instruction: Column, query: Column, title: Column, text: Column, source_type: Column, source_desc: Column) -> Column:
     """The text that a pair scorer reads."""
     context = F.concat(F.lit("[Retrieval Context]: Type="), F.coalesce(source_type, F.lit("unknown")), F.lit(". Info="), F.coalesce(source_desc, F.lit("Retrieved via vector search")))

@@ -138,7 +138,12 @@ def error_summary(spark, d):
     return L.error_lines(L.errors(_log(spark, d)))
 
 
-_ALL = (event_cleaning, warning_events, ttl_dedup, ttl_dedup_users, event_textify, event_anchor, event_upsert_latest, event_collisions, event_enrich, resource_changes, resource_topology, asof_start_save, log_workers, crawl_totals, file_conflicts, unsaved_urls, file_differences, error_taxonomy, error_summary)
+def crawl_findings(spark, d):
+    parsed = stash(L.parse(_log(spark, d)), "log")
+    return L.findings(parsed, stash(L.saved_pairs(parsed), "pairs"))
+
+
+_ALL = (event_cleaning, warning_events, ttl_dedup, ttl_dedup_users, event_textify, event_anchor, event_upsert_latest, event_collisions, event_enrich, resource_changes, resource_topology, asof_start_save, log_workers, crawl_totals, file_conflicts, unsaved_urls, file_differences, error_taxonomy, error_summary, crawl_findings)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EV = """ev AS (SELECT *, coalesce(CASE WHEN timestamp BETWEEN 946684800 AND 4102444800 THEN timestamp END, floor(epoch(try_cast(timestamp_str AS TIMESTAMPTZ)))::BIGINT, floor(epoch(received_at))::BIGINT) AS at_ FROM runtime_events),
@@ -205,6 +210,15 @@ SELECT pk, delivery_no, change_type FROM (SELECT * FROM c WHERE pk IS NOT NULL Q
     "unsaved_urls": f"WITH {_LG} SELECT DISTINCT started AS url FROM lg WHERE started IS NOT NULL AND started NOT IN (SELECT url FROM pr) AND started NOT IN (SELECT failed FROM lg WHERE failed IS NOT NULL)",
     "file_differences": f"""WITH {_LG}, fl AS (SELECT DISTINCT saved_file AS file FROM lg WHERE saved_file IS NOT NULL AND line_no % 3 <> 0 UNION SELECT * FROM (VALUES ('a.docx'), ('b.docx'), ('c.docx'))), sv AS (SELECT DISTINCT saved_file AS file FROM lg WHERE saved_file IS NOT NULL)
 SELECT file, 'not in the log' AS "where" FROM fl WHERE file NOT IN (SELECT file FROM sv) UNION ALL SELECT file, 'not on disk' FROM sv WHERE file NOT IN (SELECT file FROM fl)""",
+    "crawl_findings": f"""WITH {_LG},
+fa AS (SELECT DISTINCT failed FROM lg WHERE failed IS NOT NULL), co AS (SELECT file, string_agg(url, ' ' ORDER BY line_no) AS urls FROM pr GROUP BY file HAVING count(*) > 1),
+un AS (SELECT DISTINCT started AS url FROM lg WHERE started IS NOT NULL AND started NOT IN (SELECT url FROM pr) AND started NOT IN (SELECT failed FROM fa))
+SELECT 1 AS section, '0' AS item, '日志中记录的访问URL数量: ' || count(DISTINCT started) AS line FROM lg UNION ALL SELECT 1, '1', '日志中记录的保存文件数量: ' || count(DISTINCT saved_file) FROM lg UNION ALL SELECT 1, '2', '日志中记录的失败URL数量: ' || count(DISTINCT failed) FROM lg
+UNION ALL SELECT 1, '3', '最终进度: ' || coalesce((SELECT visited || '/' || total FROM lg WHERE total IS NOT NULL ORDER BY total DESC, line_no LIMIT 1), '0/0')
+UNION ALL SELECT 2, '', '失败URL: ' || count(*) FROM fa HAVING count(*) > 0 UNION ALL SELECT 2, failed, '  - ' || failed FROM fa
+UNION ALL SELECT 3, '', '发现 ' || count(*) || ' 个文件名被多个URL使用:' FROM co HAVING count(*) > 0 UNION ALL SELECT 3, file, '文件名: ' || file || ' URL: ' || urls FROM co
+UNION ALL SELECT 4, '', '发现 ' || count(*) || ' 个URL被访问但未保存:' FROM un HAVING count(*) > 0 UNION ALL SELECT 4, url, '  - ' || url FROM un
+UNION ALL SELECT 5, u, '最后访问的URL: ' || u FROM (SELECT arg_max(started, line_no) AS u FROM lg WHERE started IN (SELECT url FROM un)) WHERE u IS NOT NULL""",
     "error_taxonomy": f"WITH {_ER} SELECT error, n, n_urls FROM er",
     "error_summary": f"WITH {_ER} SELECT row_number() OVER (ORDER BY n DESC, error) AS rank, rpad(substr(error, 1, 40), 40, ' ') || ' | ' || lpad(n::VARCHAR, 6, ' ') || ' | ' || lpad(n_urls::VARCHAR, 6, ' ') AS line FROM er",
 }

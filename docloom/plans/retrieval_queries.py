@@ -124,7 +124,9 @@ def rerank_input_order(spark, d):
 
 def rerank_pairs(spark, d):
     c = _candidates(spark, d)
-    pair = R.rerank_pair(F.lit("Find passages that answer the query."), F.col("query"), F.col("title"), F.col("text"), F.lit("anchor"), F.col("source_desc"))
+    # the kind of a node stands for the operation
+    instruction = R.instruction_for(F.lower("node_type"), {"dynamic_event": "Find passages that explain the event.", "root": "Find pages on the subject."}, "Find passages that answer the query.")
+    pair = R.rerank_pair(instruction, F.col("query"), F.col("title"), F.col("text"), F.lit("anchor"), F.col("source_desc"))
     return c.select("pk", F.md5(pair).alias("pair_md5"))
 
 
@@ -205,7 +207,7 @@ ranked AS (SELECT lk.*, row_number() OVER (PARTITION BY lk.query_id ORDER BY sco
 
 
 _TOK = r"regexp_extract_all(lower({}), '[一-鿿]|[A-Za-z0-9_]+|[^ \t\r\nA-Za-z0-9_一-鿿]')"
-_CAND = "cand AS (SELECT delivery_no // 20 AS query_id, coalesce(source, 'none') AS query, delivery_no AS pk, text, lower(node_type) = 'dynamic_event' AS is_event, title, related_links FROM knowledge_base_v3 WHERE pk IS NOT NULL)"
+_CAND = "cand AS (SELECT delivery_no // 20 AS query_id, coalesce(source, 'none') AS query, delivery_no AS pk, text, lower(node_type) = 'dynamic_event' AS is_event, lower(node_type) AS kind, title, related_links FROM knowledge_base_v3 WHERE pk IS NOT NULL)"
 _LISTS = "WITH RECURSIVE items AS (SELECT {g} AS g, delivery_no // {c} AS c, delivery_no AS o, token_count AS t, row_number() OVER (PARTITION BY {g}, delivery_no // {c} ORDER BY {by}) AS i FROM knowledge_base_v3 WHERE token_count > 0 AND {g} IS NOT NULL)"
 
 SQL = {
@@ -232,11 +234,11 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_event ORDER BY CASE
 SELECT query_id, pk, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY is_event DESC, place) AS rank, is_event FROM p WHERE is_event OR place <= 5""",
     "rerank_input_order": f"""WITH {_CAND}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_event ORDER BY pk) AS place FROM cand)
 SELECT query_id, pk, row_number() OVER (PARTITION BY query_id ORDER BY is_event DESC, place) AS rank, is_event FROM p WHERE is_event OR place <= 5""",
-    "rerank_pairs": f"WITH {_CAND} SELECT pk, md5('<Instruct>: Find passages that answer the query.' || chr(10) || '<Query>: ' || query || chr(10) || '<Document>: [Title]: ' || coalesce(title, 'Untitled Section') || chr(10) || '[Retrieval Context]: Type=anchor. Info=Retrieved via vector search' || chr(10) || '[Content]: ' || text) AS pair_md5 FROM cand",
+    "rerank_pairs": f"WITH {_CAND} SELECT pk, md5('<Instruct>: ' || CASE kind WHEN 'dynamic_event' THEN 'Find passages that explain the event.' WHEN 'root' THEN 'Find pages on the subject.' ELSE 'Find passages that answer the query.' END || chr(10) || '<Query>: ' || query || chr(10) || '<Document>: [Title]: ' || coalesce(title, 'Untitled Section') || chr(10) || '[Retrieval Context]: Type=anchor. Info=Retrieved via vector search' || chr(10) || '[Content]: ' || text) AS pair_md5 FROM cand",
     "format_docs": f"""WITH {_CAND}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_event DESC, pk) AS i FROM cand),
 e AS (SELECT query_id, i, '[' || i || '] ' || coalesce(title, 'Unknown') || CASE WHEN is_event THEN ' | guide: ' || coalesce(list_filter(related_links, lambda x: x.type = 'static_anchor')[1].text, 'None') ELSE ' | source: Retrieved Document' END || chr(10) || regexp_replace(coalesce(text, ''), '^[\\s\\x{{3000}}\\x{{00a0}}]+|[\\s\\x{{3000}}\\x{{00a0}}]+$', '', 'g') AS t FROM n)
 SELECT query_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS md5, len(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS n FROM e GROUP BY query_id""",
-    "token_batches": _LISTS.format(g="source", c=10000, by="delivery_no") + """,
+    "token_batches": _LISTS.format(g="source", c=1000000000, by="delivery_no") + """,
 f(g, c, i, nxt, s, op, b) AS (
   SELECT g, c, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, -1::BIGINT FROM (SELECT DISTINCT g, c FROM items)
   UNION ALL

@@ -2,11 +2,11 @@
 
 import pytest
 
-from docloom.plans import core_problems, event_queries, graph_queries, pipeline_queries, retrieval_queries, text_queries
+from docloom.plans import core_problems, event_queries, graph_queries, pipeline_queries, retrieval_queries, rule_cases, text_queries
 from tests.compare import differences, duck
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = {n: (f, m.SQL.get(n)) for m in (core_problems, text_queries, retrieval_queries, graph_queries, event_queries, pipeline_queries) for n, f in m.QUERIES.items()}
+QUERIES = {n: (f, m.SQL.get(n)) for m in (core_problems, text_queries, retrieval_queries, graph_queries, event_queries, pipeline_queries, rule_cases) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
