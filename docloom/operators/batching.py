@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from docloom.operators.skew import join_parts, ranged
+
 
 def streamed(rows: DataFrame, group: list[str], order: list[Column | str], columns: list[str], schema: str, fold: Callable[[], Fold]) -> DataFrame:
     """Fold every group in order: rows are sorted by group and stream through, so a task holds only what the fold keeps.
@@ -163,10 +165,19 @@ def merge_segments(items: DataFrame, group: str, order: str, tokens: str, low: i
 
 
 def leaf_runs(items: DataFrame, group: str, order: str, mergeable: Column) -> DataFrame:
-    """``items`` with ``run``: neighbours that can be merged share a number, any other item has its own (gaps and islands)."""
-    from pyspark.sql import Window
+    """``items`` with ``run``: neighbours by ``order``, a number, that can be merged share a number, any other item has its own.
 
-    w = Window.partitionBy(group).orderBy(order)
-    rows = items.withColumn("__m", mergeable)
-    starts = F.when(F.col("__m") & F.coalesce(F.lag("__m").over(w), F.lit(False)), 0).otherwise(1)
-    return rows.withColumn("__s", starts).withColumn("run", F.sum("__s").over(w)).drop("__m", "__s")
+    Gaps and islands, within ranges of the order; what the ranges before a range end with and hold is added afterwards.
+    """
+    rows = ranged(items, order).withColumn("__m", mergeable)
+    w = Window.partitionBy(group, "__range").orderBy(order)
+    local = rows.withColumn("__s", F.when(F.col("__m") & F.coalesce(F.lag("__m").over(w), F.lit(False)), 0).otherwise(1))
+    parts = local.groupBy(group, "__range").agg(F.sum("__s").alias("__starts"), F.max_by("__m", order).alias("__last"), F.min_by("__m", order).alias("__head"))
+    before = Window.partitionBy(group).orderBy("__range")
+    # a range's first item goes on with the run before it if both can be merged: then it starts none
+    goes_on = F.col("__head") & F.coalesce(F.lag("__last").over(before), F.lit(False))
+    tied = parts.withColumn("__on", goes_on.cast("int"))
+    offset = F.coalesce(F.sum(F.col("__starts") - F.col("__on")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__on")
+    joined = join_parts(local, tied.select(group, "__range", offset.alias("__offset")), [group])
+    run = F.sum("__s").over(w) + F.col("__offset")
+    return joined.withColumn("run", run).drop("__m", "__s", "__range", "__offset")

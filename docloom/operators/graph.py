@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docloom.functions.ids import canonical_id
+from docloom.operators.skew import join_parts, ranged
 from docloom.session import drop_stash, stash
 
 
@@ -19,15 +20,31 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 
 def sibling_links(children: DataFrame, parent: str, key: str, order: str) -> DataFrame:
-    """(key, left, right): neighbours under one parent, '' at the ends."""
-    w = Window.partitionBy(parent).orderBy(order, key)
-    return children.select(key, F.coalesce(F.lag(key).over(w), F.lit("")).alias("left"), F.coalesce(F.lead(key).over(w), F.lit("")).alias("right"))
+    """(key, left, right): neighbours under one parent by ``order``, a number, and key; '' at the ends.
+
+    A parent of very many children is cut into ranges of the order, whose ends are then tied together.
+    """
+    rows = ranged(children.select(parent, key, order), order)
+    w = Window.partitionBy(parent, "__range").orderBy(order, key)
+    local = rows.withColumn("__left", F.lag(key).over(w)).withColumn("__right", F.lead(key).over(w))
+    place = F.struct(order, key)
+    ends = rows.groupBy(parent, "__range").agg(F.min_by(key, place).alias("__first"), F.max_by(key, place).alias("__last"))
+    w = Window.partitionBy(parent).orderBy("__range")
+    ends = ends.select(parent, "__range", F.lag("__last").over(w).alias("__before"), F.lead("__first").over(w).alias("__after"))
+    return join_parts(local, ends, [parent]).select(key, F.coalesce("__left", "__before", F.lit("")).alias("left"), F.coalesce("__right", "__after", F.lit("")).alias("right"))
 
 
 def number_titles(rows: DataFrame, parent: str, title: str, order: str) -> DataFrame:
-    """``rows`` with ``unique_title``: the n-th equal title under a parent gets ``_n`` from the second on."""
-    n = F.row_number().over(Window.partitionBy(parent, title).orderBy(order))
-    return rows.withColumn("__n", n).withColumn("unique_title", F.when(F.col("__n") > 1, F.concat(title, F.lit("_"), F.col("__n").cast("string"))).otherwise(F.col(title))).drop("__n")
+    """``rows`` with ``unique_title``: the n-th equal title under a parent by ``order``, a number, gets ``_n`` from the second on."""
+    by = list(dict.fromkeys([parent, title]))
+    cut = ranged(rows, order)
+    local = cut.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order)))
+    sizes = cut.groupBy(*by, "__range").agg(F.count("*").alias("__size"))
+    w = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, "__range", F.coalesce(F.sum("__size").over(w), F.lit(0)).alias("__before"))
+    n = F.col("__n") + F.col("__before")
+    unique = F.when(n > 1, F.concat(title, F.lit("_"), n.cast("string"))).otherwise(F.col(title))
+    return join_parts(local, before, by).withColumn("unique_title", unique).drop("__n", "__before", "__range")
 
 
 def subtree_texts(nodes: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ _HEADERS = (
 
 def header_cases(spark, d):
     """Headers of interface descriptions that become bold lines."""
-    demote = F.udf(tree.demote_api_headers)  # a few literal rows
+    demote = F.pandas_udf(lambda texts: texts.map(tree.demote_api_headers), "string")
     return spark.createDataFrame([(n, t) for n, t, _ in _HEADERS], "name string, text string").select("name", demote("text").alias("text"))
 
 

@@ -261,6 +261,22 @@ def test_hot_keys(spark, monkeypatch):
     assert {r.v: r["count"] for r in got} == {1: 60, 2: 1, None: 39}
 
 
+def test_windows_over_ranges(spark, monkeypatch):
+    """Neighbours, numbers of equal titles and runs of a hot group, cut into ranges of three order numbers, as without a cut."""
+    rows = [("p", f"k{i:02d}", i, "t" if i % 3 else None, i % 5 != 2) for i in range(40)] + [("q", f"z{i}", i * 7, "t", i != 3) for i in range(6)] + [("r", "one", 5, "u", True)]
+    df = spark.createDataFrame(rows, "parent string, k string, o long, title string, m boolean")
+
+    def results():
+        return (sorted(map(tuple, graph.sibling_links(df, "parent", "k", "o").collect())), sorted((r.k, r.unique_title or "") for r in graph.number_titles(df, "parent", "title", "o").collect()),
+                sorted((r.k, r.run) for r in batching.leaf_runs(df, "parent", "o", F.col("m")).collect()))
+
+    whole = results()
+    monkeypatch.setattr(skew, "RANGE", 3)
+    assert results() == whole
+    assert ("k01", "k00", "k02") in whole[0] and ("one", "", "") in whole[0] and ("k02", "t_2") in whole[1]
+    assert dict(whole[2])["k01"] == dict(whole[2])["k00"] == 1 and dict(whole[2])["k02"] == 2 and dict(whole[2])["k03"] == dict(whole[2])["k06"] == 3
+
+
 def test_graph(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     starts = spark.createDataFrame([("a",)], "url string")
