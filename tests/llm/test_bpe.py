@@ -53,6 +53,17 @@ def test_long_pieces_go_both_ways(both, monkeypatch):
     assert ours(bpe.ByteBPE(), text) == want
 
 
+def test_pieces_around_the_length_of_the_matrices(both):
+    """Words of 510 to 514 bytes, merged by matrix or by heap: as the library does, alone and side by side."""
+    import random
+
+    b, t = both
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(bpe.LONG_PIECE + d)) for d in (-2, -1, 0, 1, 2) for _ in range(4)]
+    texts = [*words, " ".join(words), "é" * 256, "é" * 257]
+    assert ours(b, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_query(spark):
     df = spark.createDataFrame([(1, "hello world", "k"), (2, None, "x"), (3, "", None), (4, "hello world", "k")], "doc_id long, text string, ids string")
     got = {r.doc_id: r.ids for r in bpe.encode_column(df, "doc_id", "text").collect()}
