@@ -37,7 +37,7 @@ _WORD = re.compile(r"[一-鿿]|[A-Za-zÀ-ɏ_][A-Za-z0-9À-ɏ_'-]*")
 _ITEM = re.compile(r"[\n,，、;；|·•»/\t]+|\s[-–—]\s|\s(?=[@#<]|tag:)")
 _ONE = re.compile(r"(\w)\1{9,}")  # one character over and over is an odd word, no keyword
 _MARKS = re.compile(r"[。！？；，]|[.!?;,:](?=\s|\Z)")
-_LEET = str.maketrans("01345@$", "oieasas")
+_LEET = dict(zip("01345@$", "oieasas"))
 
 #: Function words and function characters.
 ENGLISH = frozenset("a an and any are as at be because before but by can could does for from has have how if in is it its may nor not of on once only or so than that the their then there this to under until was we what when where which while who why will with would you your after all each when into no".split())
@@ -128,7 +128,7 @@ def units(n: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def is_prose(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Units that the model learns from: a sentence end, function words, no link, few repeated words."""
-    count = lambda *names: np.add.reduceat(np.isin(kind, [_ID[x] for x in names]).astype(np.int64), first)
+    count = lambda *names: np.add.reduceat(np.isin(np.arange(C), [_ID[x] for x in names]).astype(np.int32)[kind], first)
     size = np.diff(np.append(first, len(kind)))
     function = count("english", "german", "chinese")
     return (count("end") > 0) & (function >= 2) & (function * 12 >= size) & (count("link") == 0) & (count("han+", "word+") * 4 <= size)
@@ -184,10 +184,18 @@ def sequences(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return stash(rows.mapInArrow(run, f"key {documents.schema[key].dataType.simpleString()}, kinds binary, sizes binary"), "classes")
 
 
+def _joined(column: pa.Array) -> tuple[np.ndarray, bytes]:
+    values = column.to_pylist()
+    return np.array([len(x) for x in values], np.int64), b"".join(values)
+
+
+def _batch_kinds(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    n, kinds = _joined(batch.column("kinds"))
+    return n, np.frombuffer(kinds, np.uint8)
+
+
 def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds, sizes = batch.column("kinds").to_pylist(), batch.column("sizes").to_pylist()
-    n = np.array([len(x) for x in kinds], np.int64)
-    return n, np.frombuffer(b"".join(kinds), np.uint8), np.frombuffer(b"".join(sizes), np.uint32).astype(np.int64)
+    return *_batch_kinds(batch), np.frombuffer(_joined(batch.column("sizes"))[1], np.uint32)
 
 
 def train(seqs: DataFrame) -> np.ndarray:
@@ -196,7 +204,7 @@ def train(seqs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(C**3, np.int64)
         for batch in batches:
-            n, kind, _ = _batch_arrays(batch)
+            n, kind = _batch_kinds(batch)
             if not len(kind):
                 continue
             unit, first = units(n, kind)
@@ -204,7 +212,7 @@ def train(seqs: DataFrame) -> np.ndarray:
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
-    got = seqs.select("kinds", "sizes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = seqs.select("kinds").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(C**3, np.int64)
     counts[got["code"].to_numpy()] = got["n"].to_numpy()
     return log_costs(counts)
@@ -222,7 +230,7 @@ def normal_range(seqs: DataFrame, costs: np.ndarray) -> tuple[float, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_all = s = q = 0.0
         for batch in batches:
-            n, kind, _ = _batch_arrays(batch)
+            n, kind = _batch_kinds(batch)
             if not len(kind):
                 continue
             _, first, bits = _surprisal(n, kind, costs)
@@ -230,7 +238,7 @@ def normal_range(seqs: DataFrame, costs: np.ndarray) -> tuple[float, float]:
             n_all, s, q = n_all + len(bits), s + bits.sum(), q + (bits**2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([n_all]), pa.array([s]), pa.array([q])], ["n", "s", "q"])
 
-    row = seqs.select("kinds", "sizes").mapInArrow(run, "n double, s double, q double").agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+    row = seqs.select("kinds").mapInArrow(run, "n double, s double, q double").agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
     n, s, q = (x or 0.0 for x in row)
     if not n:
         return 2.0, 0.5
@@ -286,20 +294,31 @@ def _short_sentence(text: str) -> bool:
     return len(words) >= 4 and any(w in _EUROPEAN or w in CHINESE for w in words)
 
 
-_marks: list[np.ndarray] = []
+class Characters:
+    """Of code points: whether it is a letter or digit, whether it is blank, and its folded form; filled as they are met."""
+
+    def __init__(self):
+        self.known, self.alnum, self.blank = (np.zeros(0x110000, bool) for _ in range(3))
+        self.fold = np.arange(0x110000)
+
+    def meet(self, code: np.ndarray) -> None:
+        fresh = ~self.known[code]
+        if not fresh.any():
+            return
+        for i in np.unique(code[fresh]).tolist():
+            c, low = chr(i), chr(i).lower()
+            self.known[i], self.alnum[i], self.blank[i] = True, c.isalnum(), c.isspace()
+            self.fold[i] = ord(_LEET.get(c, low if len(low) == 1 else c))
+
 
+_characters: list[Characters] = []
 
-def _tables() -> list[np.ndarray]:
-    """Whether a code point is a letter or digit, whether it is blank, and its folded form; made once in each worker."""
-    if not _marks:
-        every = [chr(i) for i in range(0x110000)]
-        fold = np.arange(0x110000)
-        low = [c.lower() for c in every]
-        fold[:] = [ord(c) if len(c) == 1 else i for i, c in enumerate(low)]
-        for a, b in _LEET.items():
-            fold[a] = ord(b) if isinstance(b, str) else b
-        _marks.extend([np.array([c.isalnum() for c in every]), np.array([c.isspace() for c in every]), fold])
-    return _marks
+
+def _tables() -> Characters:
+    """One in each worker."""
+    if not _characters:
+        _characters.append(Characters())
+    return _characters[0]
 
 
 class Runs:
@@ -317,17 +336,23 @@ class Runs:
             for j in range(width):
                 h = h * 1_000_003 + c[j : m + j]
             # every start counts for how often a run comes, only those of the kind can be keywords
-            order = np.argsort(h, kind="stable")
-            cut = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] - 1))
-            times = np.diff(np.append(cut, m))
-            number = np.empty(m, np.int64)
+            least = max(4, len(at) / once_in)
+            bins = (h ^ (h >> 31)) & ((1 << max(12, int(2 * m).bit_length())) - 1)
+            often = np.flatnonzero(np.bincount(bins)[bins] >= least)  # a bin holds all starts of a run
+            if not len(often):
+                continue
+            order = np.argsort(h[often], kind="stable")
+            cut = np.flatnonzero(np.diff(h[often[order]], prepend=h[often[order[0]]] - 1))
+            times = np.diff(np.append(cut, len(often)))
+            number = np.empty(len(often), np.int64)
             number[order] = np.repeat(np.arange(len(cut)), times)
-            dense = times >= max(4, len(at) / once_in)
-            if not dense.any():
+            chosen = np.flatnonzero((times >= least)[number])
+            if not len(chosen):
                 continue
-            chosen = np.flatnonzero(dense[number])
-            pair, first, many = np.unique(number[chosen] * (int(unit[-1]) + 1) + unit[at[chosen]], return_index=True, return_counts=True)
-            self.found.append((width, at, number, chosen[kind[at[chosen]]], number[chosen[first]], unit[at[chosen[first]]], many, len(cut)))
+            place, number = at[often[chosen]], number[chosen]
+            _, first, many = np.unique(number * (int(unit[-1]) + 1) + unit[place], return_index=True, return_counts=True)
+            mine = kind[place]
+            self.found.append((width, at, often[chosen[mine]], number[mine], number[first], unit[place[first]], many, len(cut)))
 
     def units(self) -> np.ndarray:
         """Units that hold a dense run."""
@@ -336,10 +361,10 @@ class Runs:
     def covered(self, plain: np.ndarray) -> np.ndarray:
         """Characters inside dense keywords: in a third of its units such a run is repeated, or the unit is no sentence (``plain``)."""
         out = np.zeros(self.n, bool)
-        for width, at, number, hits, run, unit, many, size in self.found:
+        for width, at, starts, number, run, unit, many, size in self.found:
             keyword = (many >= 2) | plain[unit]
             good = np.bincount(run, keyword, size) >= 0.3 * np.maximum(np.bincount(run, minlength=size), 1)
-            hit = hits[good[number[hits]]]
+            hit = starts[good[number]]
             for j in range(width):
                 out[at[hit + j]] = True
         return out
@@ -372,10 +397,11 @@ def spam_share(text: str, least: float = 0.0) -> float:
     Of stuffed sentences only the characters inside keywords count, not the words and marks between them. Where it is plain
     that the share can't exceed ``least``, an upper bound not above it comes back instead of the share.
     """
-    alnum, blank, fold = _tables()
     text = _INVISIBLE.sub("", text)
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    visible = ~blank[raw]
+    known = _tables()
+    known.meet(raw)
+    visible = ~known.blank[raw]
     total = int(visible.sum())
     if not total:
         return 0.0
@@ -409,9 +435,10 @@ def spam_share(text: str, least: float = 0.0) -> float:
     bounds = [m.span() for m in _UNIT.finditer(text)]
     unit = np.repeat(np.arange(len(bounds)), [b - a for a, b in bounds])
     plain = _Sentences(text, bounds)
-    code = fold[raw]
+    code = known.fold[raw]
     han = (code >= 0x4E00) & (code <= 0x9FFF)
-    body = (han | alnum[code]) & ~links & ~fence
+    known.meet(code)
+    body = (han | known.alnum[code]) & ~links & ~fence
     size = np.bincount(unit, body, len(bounds))
     full = lambda c: np.bincount(unit, c & body, len(bounds)) >= 0.4 * np.maximum(size, 1)
     runs = Runs(code, body, unit, han, 220)
