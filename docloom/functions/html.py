@@ -7,6 +7,7 @@ A small element tree is built once for each page; the clean-up steps work on it
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -37,12 +38,14 @@ class Element:
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
-    def walk(self):
+    def walk(self) -> Iterator["Element"]:
         """All elements below, in document order."""
-        for c in list(self.children):
-            if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+        ahead = self.children[::-1]
+        while ahead:
+            e = ahead.pop()
+            if isinstance(e, Element):
+                ahead.extend(e.children[::-1])
+                yield e
 
     def all(self, *tags: str) -> list["Element"]:
         return [e for e in self.walk() if e.tag in tags]
@@ -111,8 +114,9 @@ def parse(html: str) -> Element:
 
 
 def drop_noise(root: Element) -> None:
-    for e in list(root.walk()):
-        if e.parent is not None and any(value in (e.classes if kind == "class" else [e.attrs.get("id")]) for kind, value in NOISE):
+    for e in [e for e in root.walk() if e.attrs]:
+        names = {"class": e.classes, "id": [e.attrs.get("id")]}
+        if e.parent is not None and any(value in names[kind] for kind, value in NOISE):
             e.replace()
 
 
