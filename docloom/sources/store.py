@@ -22,7 +22,7 @@ KEEP = 3
 
 
 class NodeStore:
-    """Nodes under ``root``; a pointer names the folders of each partition's buckets (bucket "" for all: appended rows)."""
+    """Nodes under ``root``; a pointer names the folders of each partition's buckets and the columns of its rows."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "pk", buckets: int = 32):
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
@@ -40,7 +40,7 @@ class NodeStore:
         names = [s.getPath().getName() for s in fs.listStatus(self._path("pointers"))]
         return sorted(int(m[1]) for m in (re.fullmatch(r"(\d+)\.json", n) for n in names) if m)
 
-    def _pointer(self, number: int | None = None) -> dict[str, dict[str, list[str]]]:
+    def _pointer(self, number: int | None = None) -> dict[str, dict]:
         have = self._pointers()
         if not have:
             return {}
@@ -50,7 +50,7 @@ class NodeStore:
         finally:
             stream.close()
 
-    def _swap(self, pointer: dict[str, dict[str, list[str]]], before: int | None) -> None:
+    def _swap(self, pointer: dict[str, dict], before: int | None) -> None:
         """Publish a state made from pointer ``before``; fails if another writer was first."""
         fs = self._fs()
         new, target = self._path(f"pointers/new-{uuid.uuid4().hex}"), self._path(f"pointers/{(before or 0) + 1}.json")
@@ -65,7 +65,7 @@ class NodeStore:
     def _clean(self) -> None:
         have = self._pointers()
         kept, gone = have[-KEEP:], have[:-KEEP]
-        folders = lambda numbers: {f for n in numbers for p in self._pointer(n).values() for fs in p.values() for f in fs}
+        folders = lambda numbers: {f for n in numbers for p in self._pointer(n).values() for fs in p["buckets"].values() for f in fs}
         old, new = folders(gone), folders(kept)
         whole = {f.rsplit("/", 1)[0] for f in old} - {f.rsplit("/", 1)[0] for f in new}
         for folder in whole | {f for f in old - new if f.rsplit("/", 1)[0] not in whole}:
@@ -73,7 +73,7 @@ class NodeStore:
         for n in gone:
             self._fs().delete(self._path(f"pointers/{n}.json"), False)
 
-    def _last(self) -> tuple[int | None, dict[str, dict[str, list[str]]]]:
+    def _last(self) -> tuple[int | None, dict[str, dict]]:
         have = self._pointers()
         return (have[-1], self._pointer(have[-1])) if have else (None, {})
 
@@ -91,25 +91,35 @@ class NodeStore:
         """Drop the table and start an empty one."""
         self._swap({}, self._last()[0])
 
+    @staticmethod
+    def _own(pointer: dict[str, dict], partition: str, rows: DataFrame | None = None) -> dict[str, list[str]]:
+        """The folders of a partition by bucket; the columns of new rows are added to its columns."""
+        own = pointer.setdefault(partition, {"columns": {}, "buckets": {}})
+        for f in rows.schema if rows is not None else ():
+            own["columns"].setdefault(f.name, f.dataType.simpleString())
+        return own["buckets"]
+
     def append(self, rows: DataFrame, partition: str) -> None:
         """Add rows to a partition. A failure fails the job: no batch is lost silently."""
         number, pointer = self._last()
-        own = pointer.setdefault(partition, {})
+        own = self._own(pointer, partition, rows)
         for bucket, folders in self._write(rows, partition).items():
             own.setdefault(bucket, []).extend(folders)
         self._swap(pointer, number)
 
-    def _rows(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.root}/{f}" for f in folders))
+    def _rows(self, folders: list[str], columns: dict[str, str]) -> DataFrame:
+        """Rows of some folders; the known columns save a look into the files, one that a folder lacks is null."""
+        schema = ", ".join(f"`{c}` {kind}" for c, kind in columns.items())
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in folders))
 
     def read(self, *partitions: str) -> DataFrame:
         """The rows of the named partitions (all without names), with ``partition_name``; only their folders are read."""
         out = None
         for p, own in self._pointer().items():
-            folders = [f for fs in own.values() for f in fs]
+            folders = [f for fs in own["buckets"].values() for f in fs]
             if not folders or partitions and p not in partitions:
                 continue
-            rows = self._rows(folders).withColumn("partition_name", F.lit(p))
+            rows = self._rows(folders, own["columns"]).withColumn("partition_name", F.lit(p))
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if out is None:
             raise ValueError("the store has no rows there")
@@ -125,12 +135,13 @@ class NodeStore:
         Only the buckets of the new keys are read and written again.
         """
         number, pointer = self._last()
-        own = pointer.setdefault(partition, {})
+        own = self._own(pointer, partition, rows)
+        columns = pointer[partition]["columns"]
         fresh = self._write(latest(rows, self.key, *order), partition)
         old = [f for b in fresh for f in own.get(b, [])]
         if old:
-            new = self._rows([f for fs in fresh.values() for f in fs])
-            kept = self._rows(old).join(new.select(self.key), self.key, "left_anti")
+            new = self._rows([f for fs in fresh.values() for f in fs], columns)
+            kept = self._rows(old, columns).join(new.select(self.key), self.key, "left_anti")
             written = self._write(kept.unionByName(new, allowMissingColumns=True), partition)
             for fs in fresh.values():
                 self._fs().delete(self._path(fs[0]).getParent(), True)
@@ -144,11 +155,11 @@ class NodeStore:
         wanted = keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
         touched = [str(r[0]) for r in wanted.select(self._bucket()).distinct().collect()]  # at most the number of buckets
         for p in partitions or list(pointer):
-            own = pointer.get(p, {})
+            own = self._own(pointer, p)
             old = [f for b in touched for f in own.get(b, [])]
             if not old:
                 continue
-            written = self._write(self._rows(old).join(wanted, self.key, "left_anti"), p)
+            written = self._write(self._rows(old, pointer[p]["columns"]).join(wanted, self.key, "left_anti"), p)
             for b in touched:
                 own.pop(b, None)
             own.update(written)
