@@ -24,7 +24,7 @@ KEEP = 3
 class NodeStore:
     """Nodes under ``root``; a pointer names the folders of each partition's buckets and the columns of its rows."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "pk", buckets: int = 32):
+    def __init__(self, spark: SparkSession, root: str, key: str = "pk", buckets: int = 16):
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
 
     def _path(self, name: str):
