@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators import events as E
+from docloom.session import drop_stash, stash
 from docloom.sources.store import NodeStore
 
-KEYS = ["namespace", "obj_kind", "name", "reason", "head"]
+#: Hashes of keys that share a row of state.
+SHARDS = 2048
 
 
 def watch(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -23,35 +26,44 @@ def watch(spark: SparkSession, path: str, schema: str, files_per_batch: int = 10
 def suppress_repeats(events: DataFrame, ttl: int = E.TTL, lateness: str | None = None) -> DataFrame:
     """The events that the time-to-live filter lets through, on their own clock ``at`` (seconds), so that it can be replayed.
 
-    State is one number for each key. With ``lateness`` (an interval) a watermark on ``at`` drops events that come later
+    State is one number for each key, kept by ``SHARDS`` hashes of the keys, as Spark's call of a Python function for a group
+    costs far more than an event. With ``lateness`` (an interval) a watermark on ``at`` drops events that come later
     than that and removes the state of silent keys; without, all events are heard and the state stays. Within a batch a
     key's events are taken in order of (at, event_no); one older than the last let through passes if it is ``ttl``
-    seconds apart.
+    seconds apart, and one without a time passes. Checkpoints with one state row for each key can't be continued.
     """
-    rows = events.withColumn("ts", F.timestamp_seconds("at"))
-    timeout = GroupStateTimeout.NoTimeout
+    rows, timeout = events, GroupStateTimeout.NoTimeout
     if lateness:
-        rows, timeout = rows.withWatermark("ts", lateness), GroupStateTimeout.EventTimeTimeout
-    keyed = rows.withColumns({f"__{c}": F.coalesce(F.col(c), F.lit("\x00")) for c in KEYS[:-1]} | {"__head": F.coalesce(F.substring("message", 1, E.KEY_CHARS), F.lit("\x00"))})
+        rows, timeout = events.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", lateness), GroupStateTimeout.EventTimeTimeout
+    # lengths before the parts: no two keys read the same, and null is no text
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    keyed = rows.withColumn("__key", F.md5(F.concat(*(part(c) for c in E.dedup_key()))))
+    keyed = keyed.withColumn("__shard", F.pmod(F.xxhash64("__key"), F.lit(SHARDS)).cast("int"))
     schema = events.schema
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        got, kept = pd.concat(frames).sort_values(["at", "event_no"]), []
-        for row, at in enumerate(got["at"]):
-            if last is None or abs(at - last) >= ttl:
-                kept.append(row)
-                last = at if last is None else max(last, at)
-        if last is not None:
-            state.update((int(last),))
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = json.loads(state.get[0]) if state.exists else {}
+        if not state.hasTimedOut:
+            got, kept = pd.concat(frames).sort_values(["at", "event_no"]), []
+            for row, (key, at) in enumerate(zip(got["__key"], got["at"])):
+                before = last.get(key)
+                if pd.isna(at):
+                    kept.append(row)
+                elif before is None or abs(at - before) >= ttl:
+                    kept.append(row)
+                    last[key] = int(at) if before is None else max(before, int(at))
+            yield got.iloc[kept][schema.names]
+        if lateness:
+            heard = state.getCurrentWatermarkMs() // 1000
+            last = {key: at for key, at in last.items() if at + ttl > heard}
+        if last:
+            state.update((json.dumps(last),))
             if lateness:
-                state.setTimeoutTimestamp(max(int(last) + ttl, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
-        yield got.iloc[kept][schema.names]
+                state.setTimeoutTimestamp(max(min(last.values()) + ttl, heard + 1) * 1000)
+        elif state.exists:
+            state.remove()
 
-    return keyed.groupBy(*(f"__{c}" for c in KEYS)).applyInPandasWithState(step, schema, "last long", "append", timeout)
+    return keyed.groupBy("__shard").applyInPandasWithState(step, schema, "last string", "append", timeout)
 
 
 def textify_and_store(events: DataFrame, store: NodeStore, static: DataFrame, checkpoint: str, dead: str | None = None, available_now: bool = True) -> StreamingQuery:
@@ -63,13 +75,18 @@ def textify_and_store(events: DataFrame, store: NodeStore, static: DataFrame, ch
 
     def write(batch: DataFrame, number: int) -> None:
         good = F.col("reason").isNotNull() & F.col("obj_kind").isNotNull() & F.col("name").isNotNull()
-        if dead:
-            batch.filter(~good).write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        texts = E.textify(batch.filter(good))
-        anchors = E.static_anchors(texts, static)
-        rows = E.event_rows(texts.join(anchors.select("event_no", "anchor_pk", "anchor_title"), "event_no", "left"))
-        if rows.limit(1).count():
+        heard = stash(batch, "heard")  # each plan over the batch itself would run the suppression again
+        try:
+            if dead:
+                heard.filter(~good).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+            texts = E.textify(heard.filter(good))
+            if texts.isEmpty():
+                return
+            anchors = E.static_anchors(texts, static)
+            rows = E.event_rows(texts.join(anchors.select("event_no", "anchor_pk", "anchor_title"), "event_no", "left"))
             store.upsert(rows.drop("partition_name"), "dynamic_events", "timestamp", "text")
+        finally:
+            drop_stash(heard)
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

@@ -160,6 +160,33 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted(r.event_no for r in spark.read.parquet(out).collect()) == [1, 4]
 
 
+def test_stream_keeps_few_rows_of_state(spark, tmp_path, monkeypatch):
+    """Many keys share a row of state and keep apart; as the filter over a table."""
+    monkeypatch.setattr(event_stream, "SHARDS", 3)
+    kind = "event_no long, at long, namespace string, obj_kind string, name string, reason string, message string"
+    rows = spark.createDataFrame([(i, 100 + (i * 37) % 400, [None, "", "n", "-"][i % 4], "Pod", f"x{i % 9}", None, "m") for i in range(300)], kind)
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    rows.write.parquet(src)
+    q = event_stream.suppress_repeats(event_stream.watch(spark, src, rows.schema)).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.event_no for r in spark.read.parquet(out).collect()) == sorted(r.event_no for r in E.suppress_repeats(rows, "at", "event_no").collect())
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 3
+
+
+def test_stream_forgets_silent_keys(spark, tmp_path):
+    """With lateness a key's number goes when the watermark has passed its silence; what is heard stays the same."""
+    rows = lambda *ts: spark.createDataFrame([(i, t, "n", "Pod", n, None, "m") for i, t, n in ts], "event_no long, at long, namespace string, obj_kind string, name string, reason string, message string")
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    left = []
+    for part in (rows((1, 100, "a"), (2, 130, "a")), rows((3, 150, "a"), (4, 1000, "b")), rows((5, 1010, "a"), (6, 1030, "b"), (7, 9000, "c"))):
+        part.write.mode("append").parquet(src)
+        q = event_stream.suppress_repeats(event_stream.watch(spark, src, part.schema), lateness="20 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(r.event_no for r in spark.read.parquet(out).collect()) == [1, 4, 5, 7]
+    assert left[-1] == 1
+
+
 def test_stream_goes_on_after_a_restart(spark, tmp_path):
     """A stored stream that fails in the middle of a batch goes on from its checkpoint: nothing is lost or stored twice."""
     kind = "event_no long, at long, namespace string, obj_kind string, name string, reason string, message string, timestamp_str string"
